@@ -26,8 +26,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 METRICS = {
     "symbols": ("n_symbols", "n_words", 20, False),
     "length": ("word_chars", "n_words", 500, True),
-    "lines": ("n_dup_lines", "n_lines", 50, False),
+    "lines": ("n_dup_lines", "n_lines", 200, False),
 }
+#: A two-sided bound widens by this many times its half width over n_words: the mean of few words is noisy.
+NOISE = 10
 
 
 def with_counts(docs: DataFrame, text: str = "text", into: str = "__quality") -> DataFrame:
@@ -117,10 +119,12 @@ def judged(counted: DataFrame, bounds: DataFrame, of: str = "__quality") -> Data
     """Adds __kept. The bounds have a row for each lang and source; AQE broadcasts them only when they are measured to be small."""
     inside = F.lit(True)
     for m, (_, _, _, both) in METRICS.items():
-        v = _share(m, of)
-        inside = inside & F.coalesce(v <= F.col(f"{m}_high"), F.lit(True))
+        v, low, high = _share(m, of), F.col(f"{m}_low"), F.col(f"{m}_high")
         if both:
-            inside = inside & F.coalesce(v >= F.col(f"{m}_low"), F.lit(True))
+            n, slack = 2 * F.col(f"{of}.n_words"), NOISE * (high - low)
+            inside = inside & F.coalesce((v * n <= high * n + slack) & (v * n >= low * n - slack), F.lit(True))
+        else:
+            inside = inside & F.coalesce(v <= high, F.lit(True))
     joined = counted.join(bounds, counted["lang"].eqNullSafe(bounds["__lang"]) & counted["source"].eqNullSafe(bounds["__source"]), "left")
     return joined.withColumn("__kept", ~base_failed(of) & inside).drop(*bounds.columns)
 

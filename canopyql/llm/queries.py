@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_rules
+from . import license_scan, packing, quality_rules, sentencepiece_codec
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; executors have the same installation as the driver."""
+    import public_tokenizers
+
+    return os.fspath(public_tokenizers.path(name))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(_read(spark, sf_dir, "documents"))
 
@@ -19,9 +28,19 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(_read(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.report(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op7_quality_rules": op7_quality_rules,
+    "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
