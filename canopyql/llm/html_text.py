@@ -8,7 +8,7 @@ padded to the columns' widths, preformatted text unchanged. Not visible are head
 
 Cases: null or empty pages give the empty text; unclosed, crossed and unknown tags never raise; a document
 without markup is its own text; repeated rows are rendered each; an empty table gives no rows; extra columns are ignored. Building and rendering use
-explicit stacks, so depth is bounded by memory only, and time is linear in the source (nested tables render from the inside).
+explicit stacks, so depth is bounded by memory only, and time is linear in the source but for tables within tables, whose text is padded once a level.
 """
 
 from __future__ import annotations
@@ -82,6 +82,8 @@ def parse(source: str) -> Node:
                 break
             if stack[k].tag in tags:
                 cut = k
+                if stack[k].tag == "p":
+                    break
         if cut:
             cut_at(cut)
 
