@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup
+from . import embedding_dedup, html_text, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(_read(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_packing": op8_packing,
