@@ -1,4 +1,190 @@
-"""Queries of the path engine and the equivalent SQL."""
+"""Queries of the path engine over document views of the tables, and the equivalent SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .engine import Engine
+from .plans.model import V
+from .sources import tables as T
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+_VIEWS = {"T": T.customers, "O": T.orders, "C": T.conversations, "E": T.events, "D": T.texts}
+
+
+def path_query(name: str, view: str, expression: str, sql: str, kind: str = "eval", cast: str | None = None, drop_pos: bool = False) -> None:
+    """An expression over a view: every item (eval), one item (single) or an effective boolean value (boolean) per document."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _VIEWS[view](Engine(spark), sf_dir)
+        out = getattr(docs, {"eval": "eval", "single": "eval_single", "boolean": "eval_boolean"}[kind])(expression)
+        out = out.withColumn("value", F.col("value").cast(cast)) if cast else out
+        return out.drop("pos") if drop_pos else out
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def row_query(name: str, table: str, keys: list[str], columns: dict[str, tuple], sql: str) -> None:
+    """Expressions over the scalar columns of a table: output column = (expression, {variable: (item type, SQL of the column)}, cast)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        eng = Engine(spark)
+        out = []
+        for c, (expression, variables, cast) in columns.items():
+            v = eng.value(expression, **{n: (t, F.expr(x)) for n, (t, x) in variables.items()})
+            col = v.col if v.t != "empty" else F.lit(None).cast("string")
+            out.append((col.cast(cast) if cast else col).alias(c))
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, *out)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+_LINES = "lineitem JOIN orders ON l_orderkey = o_orderkey"
+_ROW = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+
+# navigation
+path_query("child_step", "T", "order/line/@extendedprice", f"SELECT o_custkey AS c_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, {_ROW}) AS pos, l_extendedprice AS value FROM {_LINES}")
+path_query("descendant_step", "T", "//line/@partkey", f"SELECT o_custkey AS c_custkey, l_partkey AS value FROM {_LINES}", drop_pos=True)
+path_query("parent_step", "O", "line/../@orderkey", "SELECT o_orderkey, o_orderkey AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)", drop_pos=True)
+path_query("ancestor_step", "T", "//line/ancestor::order/@orderkey", "SELECT o_custkey AS c_custkey, o_orderkey AS value FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)", drop_pos=True)
+path_query("self_step", "C", "turn/self::turn/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS value FROM conversations")
+path_query("wildcard_flags", "D", "count(@*)", "SELECT doc_id, CAST(4 AS BIGINT) - (lang IS NULL)::BIGINT - (source IS NULL)::BIGINT AS value FROM documents", "single", "bigint")
+path_query("absolute_path", "C", "/conversation/turn/@role", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, role AS value FROM conversations")
+path_query("following_sibling", "C", "turn/following-sibling::turn[1]/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY value) AS pos, value FROM (SELECT conv_id, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS value FROM conversations) WHERE value IS NOT NULL")
+path_query("preceding_sibling", "C", "turn/preceding-sibling::turn[1]/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY value) AS pos, value FROM (SELECT conv_id, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS value FROM conversations) WHERE value IS NOT NULL")
+path_query("following_axis", "C", "turn[2]/following::turn/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n > 2")
+path_query("preceding_axis", "C", "turn[3]/preceding::turn/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE n < 3 AND m >= 3")
+path_query("simple_map", "C", "turn ! string-length(.)", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, CAST(length(text) AS BIGINT) AS value FROM conversations")
+path_query("range_sequence", "C", "for $i in 1 to count(turn) return $i * 2", "SELECT conv_id, pos, pos * 2 AS value FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)")
+path_query("single_child_step", "E", "props/@k", "SELECT event_id, CAST(1 AS BIGINT) AS pos, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+
+# filters
+path_query("pred_filter", "T", "order[@orderstatus = 'F']/@orderkey", "SELECT o_custkey AS c_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey AS value FROM orders WHERE o_orderstatus = 'F'")
+path_query("pred_chain", "T", "order[@orderstatus = 'F'][2]/@orderkey", "SELECT o_custkey AS c_custkey, CAST(1 AS BIGINT) AS pos, o_orderkey AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 2")
+path_query("pred_position", "C", "turn[1]/@role", "SELECT conv_id, CAST(1 AS BIGINT) AS pos, role AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 1")
+path_query("pred_last", "C", "turn[last()]/@turn", "SELECT conv_id, CAST(1 AS BIGINT) AS pos, max(turn) AS value FROM conversations GROUP BY conv_id")
+path_query("pred_position_range", "C", "turn[position() > 1 and position() < last()]/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations) WHERE n > 1 AND n < m")
+path_query("general_cmp", "O", "@totalprice < line/@extendedprice", "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND o_totalprice < l_extendedprice) AS value FROM orders", "boolean")
+path_query("value_cmp", "O", "@orderstatus eq 'P'", "SELECT o_orderkey, o_orderstatus = 'P' AS value FROM orders", "boolean")
+path_query("logic_ops", "O", "@orderstatus = 'F' and @totalprice > 1000 or not(line)", "SELECT o_orderkey, (o_orderstatus = 'F' AND o_totalprice > 1000) OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS value FROM orders", "boolean")
+path_query("semi_some", "O", "some $l in line satisfies $l/@quantity > 45", "SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS value FROM orders", "boolean")
+path_query("anti_every", "O", "every $l in line satisfies $l/@quantity > 5", "SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT l_quantity > 5) AS value FROM orders", "boolean")
+path_query("exists_empty", "O", "empty(line)", "SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS value FROM orders", "boolean")
+
+# joins, control flow, sets
+path_query("theta_for", "C", "for $a in turn, $b in turn return if ($a/@turn < $b/@turn) then $a/@turn * 100 + $b/@turn else ()", "SELECT a.conv_id, row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn, b.turn) AS pos, a.turn * 100 + b.turn AS value FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn")
+path_query("equi_for", "O", "for $a in line return count(../conversation | line[@partkey = $a/@partkey])", "SELECT o_orderkey, value FROM (SELECT a.l_orderkey AS o_orderkey, count(*) AS value FROM (SELECT *, row_number() OVER () AS n FROM lineitem) a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = b.l_partkey GROUP BY a.l_orderkey, a.n)", drop_pos=True)
+path_query("let_if", "O", "let $p := @totalprice return if ($p > 200000) then 'high' else if ($p > 100000) then 'middle' else 'low'", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'middle' ELSE 'low' END AS value FROM orders", "single")
+path_query("group_idiom", "T", "for $k in distinct-values(order/@priority) return concat($k, '=', count(order[@priority = $k]))", "SELECT o_custkey AS c_custkey, o_orderpriority || '=' || count(*) AS value FROM orders GROUP BY o_custkey, o_orderpriority", drop_pos=True)
+path_query("set_union", "C", "(turn[1] | turn[last()] | turn[1])/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS value FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS a, max(turn) OVER (PARTITION BY conv_id) AS b FROM conversations) WHERE turn IN (a, b)")
+path_query("set_intersect", "C", "(turn[@role = 'user'] intersect turn[position() > 1])/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE role = 'user' AND n > 1")
+path_query("set_except", "C", "(turn except turn[1])/@turn", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos, turn AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n > 1")
+path_query("arrow_chain", "C", "turn[1]/@role => upper-case() => concat('!')", "SELECT conv_id, upper(role) || '!' AS value FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n = 1", "single")
+path_query("inline_function", "O", "let $f := function($x) { $x * 2 } return $f(@totalprice)", "SELECT o_orderkey, o_totalprice * 2 AS value FROM orders", "single")
+
+# aggregation
+for _n, _e, _s in (("count", "count(line)", "count(l_orderkey)"), ("sum", "sum(line/@quantity)", "coalesce(sum(l_quantity), 0)"), ("avg", "avg(line/@quantity)", "avg(l_quantity)"), ("min", "min(line/@extendedprice)", "min(l_extendedprice)"), ("max", "max(line/@extendedprice)", "max(l_extendedprice)")):
+    path_query(f"order_{_n}", "O", _e, f"SELECT o_orderkey, {_s} AS value FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "single")
+path_query("agg_sum", "T", "round(sum(order/line/@extendedprice))", f"SELECT c_custkey, round_even(coalesce(sum(l_extendedprice), 0), 0) AS value FROM customer LEFT JOIN ({_LINES}) ON o_custkey = c_custkey GROUP BY c_custkey", "single", "double")
+
+# sequences
+_TURNS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations"
+_SEQ = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY {order}) AS pos, turn AS value FROM (" + _TURNS + ") WHERE {where}"
+path_query("distinct_values", "C", "distinct-values(turn/@role)", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY t) AS pos, role AS value FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY conv_id, role)")
+path_query("index_of", "C", "index-of(turn/@role, 'user')", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS pos, n AS value FROM (" + _TURNS + ") WHERE role = 'user'")
+path_query("reverse_seq", "C", "reverse(turn/@turn)", _SEQ.format(order="turn DESC", where="true"))
+path_query("subsequence_seq", "C", "subsequence(turn/@turn, 2, 2)", _SEQ.format(order="turn", where="n BETWEEN 2 AND 3"))
+path_query("head_seq", "C", "head(turn)/@turn", _SEQ.format(order="turn", where="n = 1"))
+path_query("tail_seq", "C", "tail(turn)/@turn", _SEQ.format(order="turn", where="n > 1"))
+path_query("remove_seq", "C", "remove(turn/@turn, 2)", _SEQ.format(order="turn", where="n <> 2"))
+path_query("insert_seq", "C", "insert-before(turn/@turn, 1, 99)", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS pos, value FROM (SELECT conv_id, n AS k, turn AS value FROM (" + _TURNS + ") UNION ALL SELECT DISTINCT conv_id, 0, 99 FROM conversations)")
+path_query("cardinality_seq", "C", "count((zero-or-one(turn[1]), one-or-more(turn), exactly-one(turn[last()])))", "SELECT conv_id, count(*) + 2 AS value FROM conversations GROUP BY conv_id", "single")
+path_query("deep_equal", "C", "deep-equal(turn/@role, reverse(turn/@role))", "SELECT conv_id, list(role ORDER BY turn) = list(role ORDER BY turn DESC) AS value FROM conversations GROUP BY conv_id", "boolean")
+path_query("innermost", "C", "innermost((. | turn))/@turn", _SEQ.format(order="turn", where="true"))
+path_query("outermost", "C", "count(outermost((. | turn)))", "SELECT DISTINCT conv_id, CAST(1 AS BIGINT) AS value FROM conversations", "single")
+path_query("node_path", "C", "turn[1]/path(.)", "SELECT DISTINCT conv_id, '/conversation/conversation/turn' AS value FROM conversations", "single")
+path_query("node_depth", "C", "max(turn/mp:recurse-depth(.))", "SELECT DISTINCT conv_id, CAST(2 AS BIGINT) AS value FROM conversations", "single")
+path_query("node_names", "C", "concat(name(turn[1]), local-name(.), namespace-uri(.), has-children(.), count(root(turn[1])))", "SELECT DISTINCT conv_id, 'turnconversationtrue1' AS value FROM conversations", "single")
+
+# scalars: strings
+_TEXT, _TX = {"t": ("string", "text")}, "FROM documents"
+row_query("str_basic", "documents", ["doc_id"], {"n": ("string-length($t)", _TEXT, "bigint"), "up": ("upper-case(substring($t, 1, 20))", _TEXT, None), "low": ("lower-case(substring($t, 5))", _TEXT, None)}, f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n, upper(substr(text, 1, 20)) AS up, lower(substr(text, 5)) AS low {_TX}")
+row_query("str_tests", "documents", ["doc_id"], {"a": ("contains($t, 'the')", _TEXT, None), "b": ("starts-with($t, 'The')", _TEXT, None), "c": ("ends-with($t, '.')", _TEXT, None), "d": ("compare($t, 'M')", _TEXT, "bigint")}, f"SELECT doc_id, contains(text, 'the') AS a, starts_with(text, 'The') AS b, ends_with(text, '.') AS c, CAST(CASE WHEN text < 'M' THEN -1 WHEN text > 'M' THEN 1 ELSE 0 END AS BIGINT) AS d {_TX}")
+row_query("str_around", "part", ["p_partkey"], {"a": ("substring-before($b, '#')", {"b": ("string", "p_brand")}, None), "b": ("substring-after($b, '#')", {"b": ("string", "p_brand")}, None), "c": ("translate($b, 'Brand', 'bRA')", {"b": ("string", "p_brand")}, None), "d": ("normalize-space(concat('  ', $b, '   x '))", {"b": ("string", "p_brand")}, None)}, "SELECT p_partkey, split_part(p_brand, '#', 1) AS a, split_part(p_brand, '#', 2) AS b, translate(p_brand, 'Brand', 'bRA') AS c, p_brand || ' x' AS d FROM part")
+row_query("str_join", "part", ["p_partkey"], {"a": ("string-join(($a, $b, 'x'), '-')", {"a": ("string", "p_brand"), "b": ("integer", "cast(p_size as bigint)")}, None), "b": ("$a || '/' || $b", {"a": ("string", "p_brand"), "b": ("integer", "cast(p_size as bigint)")}, None)}, "SELECT p_partkey, p_brand || '-' || p_size || '-x' AS a, p_brand || '/' || p_size AS b FROM part")
+row_query("str_codepoints", "nation", ["n_nationkey"], {"a": ("codepoints-to-string(reverse(string-to-codepoints($n)))", {"n": ("string", "n_name")}, None), "b": ("sum(string-to-codepoints($n))", {"n": ("string", "n_name")}, "bigint")}, "SELECT n_nationkey, reverse(n_name) AS a, CAST(list_sum(list_transform(string_split(n_name, ''), lambda x: unicode(x))) AS BIGINT) AS b FROM nation")
+row_query("regex_matches", "documents", ["doc_id"], {"a": ("matches($t, '[0-9]{3}')", _TEXT, None), "b": ("matches($t, 'LICENSE', 'i')", _TEXT, None)}, f"SELECT doc_id, regexp_matches(text, '[0-9]{{3}}') AS a, regexp_matches(text, 'LICENSE', 'i') AS b {_TX}")
+row_query("regex_replace", "pages", ["page_id"], {"a": ("replace($u, '[0-9]+', '#')", {"u": ("string", "url")}, None), "b": ("replace($u, '(http)(s?)', '$2$1')", {"u": ("string", "url")}, None)}, r"SELECT page_id, regexp_replace(url, '[0-9]+', '#', 'g') AS a, regexp_replace(url, '(http)(s?)', '\2\1', 'g') AS b FROM pages")
+row_query("regex_tokenize", "pages", ["page_id"], {"a": ("count(tokenize($u, '[/.?]'))", {"u": ("string", "url")}, "bigint")}, "SELECT page_id, CAST(len(list_filter(regexp_split_to_array(url, '[/.?]'), lambda x: x <> '')) AS BIGINT) AS a FROM pages")
+row_query("b64_roundtrip", "nation", ["n_nationkey"], {"a": ("mp:base64-encode($n)", {"n": ("string", "n_name")}, None), "b": ("mp:base64-decode(mp:base64-encode($n))", {"n": ("string", "n_name")}, None)}, "SELECT n_nationkey, to_base64(encode(n_name)) AS a, n_name AS b FROM nation")
+row_query("uri_encode", "pages", ["page_id"], {"a": ("encode-for-uri($u)", {"u": ("string", "url")}, None)}, "SELECT page_id, url_encode(url) AS a FROM pages")
+
+# numbers
+_P = {"p": ("double", "p_retailprice"), "n": ("integer", "cast(p_size as bigint)")}
+row_query("num_rounding", "part", ["p_partkey"], {"a": ("round($p)", _P, None), "b": ("floor($p)", _P, None), "c": ("ceiling($p)", _P, None), "d": ("abs($n - 25)", _P, None)}, "SELECT p_partkey, round_even(p_retailprice, 0) AS a, floor(p_retailprice) AS b, ceil(p_retailprice) AS c, CAST(abs(p_size - 25) AS BIGINT) AS d FROM part")
+row_query("num_number", "part", ["p_partkey"], {"a": ("number(substring-after($b, '#'))", {"b": ("string", "p_brand")}, None)}, "SELECT p_partkey, CAST(split_part(p_brand, '#', 2) AS DOUBLE) AS a FROM part")
+row_query("arith_integer", "part", ["p_partkey"], {"a": ("$n + 7", _P, None), "b": ("$n - 30", _P, None), "c": ("$n * 3", _P, None), "d": ("$n idiv 7", _P, None), "e": ("($n - 30) mod 7", _P, None), "f": ("-$n", _P, None)}, "SELECT p_partkey, CAST(p_size + 7 AS BIGINT) AS a, CAST(p_size - 30 AS BIGINT) AS b, CAST(p_size * 3 AS BIGINT) AS c, CAST(p_size // 7 AS BIGINT) AS d, CAST((p_size - 30) % 7 AS BIGINT) AS e, CAST(-p_size AS BIGINT) AS f FROM part")
+row_query("arith_double", "part", ["p_partkey"], {"a": ("$p * 2 + 1.5", _P, "double"), "b": ("$p div 4", _P, "double"), "c": ("$n div 4", _P, "double")}, "SELECT p_partkey, p_retailprice * 2 + 1.5::DOUBLE AS a, p_retailprice / 4 AS b, p_size / 4.0::DOUBLE AS c FROM part")
+row_query("type_tests", "part", ["p_partkey"], {"a": ("$b castable as xs:integer", {"b": ("string", "substring(p_brand, 7, 2)")}, None), "b": ("$b cast as xs:integer", {"b": ("string", "substring(p_brand, 7, 2)")}, None), "c": ("$n instance of xs:integer", _P, None), "d": ("string($p treat as xs:double) = ''", _P, None)}, "SELECT p_partkey, true AS a, CAST(substr(p_brand, 7, 2) AS BIGINT) AS b, true AS c, false AS d FROM part")
+
+# dates, times and durations
+_D = {"t": ("dateTime", "struct(cast(o_orderdate as timestamp_ntz) as ts, cast(null as int) as tz)"), "d": ("date", "struct(cast(o_orderdate as date) as d, 120 as tz)")}
+row_query("date_parts", "orders", ["o_orderkey"], {"y": ("year-from-dateTime($t)", _D, None), "m": ("month-from-date($d)", _D, None), "dd": ("day-from-date($d)", _D, None), "h": ("hours-from-dateTime($t)", _D, None), "mi": ("minutes-from-dateTime($t)", _D, None), "s": ("seconds-from-dateTime($t)", _D, "double")}, "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS dd, hour(o_orderdate) AS h, minute(o_orderdate) AS mi, CAST(second(o_orderdate) AS DOUBLE) AS s FROM orders")
+row_query("date_tz", "orders", ["o_orderkey"], {"a": ("hours-from-duration(timezone-from-date($d))", _D, None), "b": ("string(adjust-date-to-timezone($d, xs:dayTimeDuration('PT0S')))", _D, None), "c": ("string(dateTime($d, xs:time('10:20:30')))", _D, None)}, "SELECT o_orderkey, CAST(2 AS BIGINT) AS a, strftime(o_orderdate, '%Y-%m-%d') || 'Z' AS b, strftime(o_orderdate, '%Y-%m-%d') || 'T10:20:30+02:00' AS c FROM orders")
+_U = {"u": ("dayTimeDuration", "cast(l_partkey * 1000000 + 500000 as bigint)"), "v": ("duration", "struct(cast(l_linenumber * 5 as int) as months, cast(0 as bigint) as us)")}
+row_query("duration_parts", "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"], {"d": ("days-from-duration($u)", _U, None), "h": ("hours-from-duration($u)", _U, None), "m": ("minutes-from-duration($u)", _U, None), "s": ("seconds-from-duration($u)", _U, "double"), "y": ("years-from-duration($v)", _U, None), "mo": ("months-from-duration($v)", _U, None)}, "SELECT l_orderkey, l_partkey, l_linenumber, CAST(l_partkey // 86400 AS BIGINT) AS d, CAST(l_partkey // 3600 % 24 AS BIGINT) AS h, CAST(l_partkey // 60 % 60 AS BIGINT) AS m, CAST(l_partkey % 60 + 0.5 AS DOUBLE) AS s, CAST(l_linenumber * 5 // 12 AS BIGINT) AS y, CAST(l_linenumber * 5 % 12 AS BIGINT) AS mo FROM lineitem")
+
+# arrays and maps
+
+
+def array_query(name: str, expression: str, sql: str) -> None:
+    """An expression over $a, the array of a vector; lists come back as text so that both sides hash alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        eng = Engine(spark)
+        c = eng.compiler()
+        from .plans.compiler import Env
+
+        a = F.expr("transform(slice(embedding, 1, 6), x -> cast(round(x * 1000) as bigint))")
+        v = c.compile(expression, Env(vars={"a": V("array", a, elem="integer")}))
+        col = v.col if v.t == "array" or v.many else F.array(v.col)
+        return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.concat_ws(",", F.transform(col, lambda x: x.cast("string"))).alias("value"))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT vec_id, coalesce(array_to_string({sql}, ','), '') AS value FROM (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS a FROM embeddings)"
+
+
+for _n, _e, _s in (
+    ("size", "array:size($a)", "[len(a)]"), ("get", "array:get($a, 2)", "a[2:2]"), ("put", "array:put($a, 2, 7)", "a[1:1] || [7] || a[3:]"), ("append", "array:append($a, 7)", "a || [7]"), ("subarray", "array:subarray($a, 2, 3)", "a[2:4]"),
+    ("remove", "array:remove($a, 2)", "a[1:1] || a[3:]"), ("insert", "array:insert-before($a, 2, 7)", "a[1:1] || [7] || a[2:]"), ("head", "array:head($a)", "a[1:1]"), ("tail", "array:tail($a)", "a[2:]"), ("reverse", "array:reverse($a)", "list_reverse(a)"),
+    ("join", "array:join(($a, $a))", "a || a"), ("flatten", "array:flatten($a)", "a"), ("lookup", "$a?3", "a[3:3]"),
+):
+    array_query(f"array_{_n}", _e, _s)
+
+
+def map_query(name: str, expression: str, sql: str, cast: str = "string") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        eng = Engine(spark)
+        from .plans.compiler import Env
+
+        m = V("map", F.expr("map('type', event_type, 'user', cast(user_id as string))"), elem="string")
+        c = eng.compiler()
+        v = c.compile(expression, Env(vars={"m": m}))
+        col = F.array_join(F.array_sort(c.strings(v).col), ",") if v.many else v.col
+        return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", col.cast(cast).alias("value"))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT event_id, {sql} AS value FROM events"
+
+
+map_query("map_size", "map:size($m)", "CAST(2 AS BIGINT)", "bigint")
+map_query("map_keys", "map:keys($m)", "'type,user'")
+map_query("map_contains", "map:contains($m, 'user')", "true", "boolean")
+map_query("map_get", "map:get($m, 'type')", "event_type")
+map_query("map_put", "map:get(map:put($m, 'type', 'x'), 'type')", "'x'")
+map_query("map_entry", "map:get(map:entry('k', $m?user), 'k')", "CAST(user_id AS VARCHAR)")
+map_query("map_remove", "map:keys(map:remove($m, 'user'))", "'type'")
+map_query("map_merge", "map:get(map:merge(($m, map{'type': 'last'})), 'type')", "'last'")
+map_query("map_lookup", "$m?user", "CAST(user_id AS VARCHAR)")

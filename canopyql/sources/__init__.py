@@ -1,0 +1 @@
+"""Documents from tables and from files."""
