@@ -110,7 +110,7 @@ path_query("node_names", "C", "concat(name(turn[1]), local-name(.), namespace-ur
 
 # scalars: strings
 _TEXT, _TX = {"t": ("string", "text")}, "FROM documents"
-row_query("str_basic", "documents", ["doc_id"], {"n": ("string-length($t)", _TEXT, "bigint"), "up": ("upper-case(substring($t, 1, 20))", _TEXT, None), "low": ("lower-case(substring($t, 5))", _TEXT, None)}, f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n, upper(substr(text, 1, 20)) AS up, lower(substr(text, 5)) AS low {_TX}")
+row_query("str_basic", "documents", ["doc_id"], {"n": ("string-length($t)", _TEXT, "bigint"), "up": ("upper-case(substring($t, 1, 20))", _TEXT, None), "low": ("lower-case(substring($t, 5))", _TEXT, None)}, f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n, replace(upper(substr(text, 1, 20)), chr(7838), 'SS') AS up, lower(substr(text, 5)) AS low {_TX}")
 row_query("str_tests", "documents", ["doc_id"], {"a": ("contains($t, 'the')", _TEXT, None), "b": ("starts-with($t, 'The')", _TEXT, None), "c": ("ends-with($t, '.')", _TEXT, None), "d": ("compare($t, 'M')", _TEXT, "bigint")}, f"SELECT doc_id, contains(text, 'the') AS a, starts_with(text, 'The') AS b, ends_with(text, '.') AS c, CAST(CASE WHEN text < 'M' THEN -1 WHEN text > 'M' THEN 1 ELSE 0 END AS BIGINT) AS d {_TX}")
 row_query("str_around", "part", ["p_partkey"], {"a": ("substring-before($b, '#')", {"b": ("string", "p_brand")}, None), "b": ("substring-after($b, '#')", {"b": ("string", "p_brand")}, None), "c": ("translate($b, 'Brand', 'bRA')", {"b": ("string", "p_brand")}, None), "d": ("normalize-space(concat('  ', $b, '   x '))", {"b": ("string", "p_brand")}, None)}, "SELECT p_partkey, split_part(p_brand, '#', 1) AS a, split_part(p_brand, '#', 2) AS b, translate(p_brand, 'Brand', 'bRA') AS c, p_brand || ' x' AS d FROM part")
 row_query("str_join", "part", ["p_partkey"], {"a": ("string-join(($a, $b, 'x'), '-')", {"a": ("string", "p_brand"), "b": ("integer", "cast(p_size as bigint)")}, None), "b": ("$a || '/' || $b", {"a": ("string", "p_brand"), "b": ("integer", "cast(p_size as bigint)")}, None)}, "SELECT p_partkey, p_brand || '-' || p_size || '-x' AS a, p_brand || '/' || p_size AS b FROM part")
@@ -188,3 +188,117 @@ map_query("map_entry", "map:get(map:entry('k', $m?user), 'k')", "CAST(user_id AS
 map_query("map_remove", "map:keys(map:remove($m, 'user'))", "'type'")
 map_query("map_merge", "map:get(map:merge(($m, map{'type': 'last'})), 'type')", "'last'")
 map_query("map_lookup", "$m?user", "CAST(user_id AS VARCHAR)")
+
+# constraints
+
+
+def constraint_query(name: str, view: str, constraints, sql: str, extra=None) -> None:
+    """Number of findings of each document that has one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .operators.constraints import validate
+
+        found = validate(_VIEWS[view](Engine(spark), sf_dir), constraints)
+        return (extra or (lambda f: f.groupBy("doc").agg(F.count("*").alias("n"))))(found)
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+def _constraint(kind: str, **more):
+    from .catalog.module import Constraint
+
+    return Constraint(kind, **more)
+
+
+_BY_ORDER = "SELECT CAST(o_orderkey AS VARCHAR) AS doc, count(*) AS n FROM {of} GROUP BY o_orderkey"
+constraint_query("c_allowed_values", "O", [(".", _constraint("allowed-values", target="@orderstatus", values={"F": None, "O": None}))], _BY_ORDER.format(of="orders WHERE o_orderstatus NOT IN ('F', 'O')"))
+constraint_query("c_matches", "D", [(".", _constraint("matches", regex="^[^#*$%|]*$"))], "SELECT CAST(doc_id AS VARCHAR) AS doc, count(*) AS n FROM documents WHERE NOT regexp_matches(text, '^[^#*$%|]*$') GROUP BY doc_id")
+constraint_query("c_expect", "O", [("line", _constraint("expect", test="@quantity <= 45 and @discount < 0.1"))], _BY_ORDER.format(of="orders JOIN lineitem ON l_orderkey = o_orderkey WHERE NOT (l_quantity <= 45 AND l_discount < 0.1)"))
+constraint_query("c_card_min", "O", [(".", _constraint("has-cardinality", target="line", least=1))], _BY_ORDER.format(of="orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"))
+constraint_query("c_card_max", "O", [(".", _constraint("has-cardinality", target="line", most=5))], "SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(1 AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5")
+constraint_query("c_unique", "O", [(".", _constraint("is-unique", target="line", keys=[("@linenumber", None)]))], "SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(count(*) - count(DISTINCT l_linenumber) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > count(DISTINCT l_linenumber)")
+constraint_query("c_index_fk", "O", [(".", _constraint("index", name="big", target="line[@quantity > 25]", keys=[("@partkey", None)])), (".", _constraint("index-has-key", name="big", target="line", keys=[("@partkey", None)]))], _BY_ORDER.format(of="orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)"))
+constraint_query(
+    "findings_summary",
+    "O",
+    [(".", _constraint("allowed-values", target="@orderstatus", values={"F": None, "O": "1.0"})), (".", _constraint("has-cardinality", target="line", least=1, level="CRITICAL"))],
+    "SELECT severity, count(*) AS n FROM (SELECT 'ERROR' AS severity FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'WARNING' FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'CRITICAL' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) GROUP BY severity",
+    lambda f: f.groupBy("severity").agg(F.count("*").alias("n")),
+)
+
+# scalar types: validity of a text made of each row
+_TYPED = {
+    "string": ("text", "documents", "doc_id", r"regexp_full_match(text, '\S((?s:.*)\S)?')"),
+    "token": ("p_brand", "part", "p_partkey", r"regexp_full_match(p_brand, '(\p{L}|_)(\p{L}|\p{N}|[.\-_])*')"),
+    "uri": ("url", "pages", "page_id", r"regexp_full_match(url, '[a-zA-Z][a-zA-Z0-9+\-.]+:.+')"),
+    "uri-reference": ("url", "pages", "page_id", r"NOT regexp_matches(url, '[\s<>\\^`{|}]') AND url <> ''"),
+    "uuid": ("p_brand", "part", "p_partkey", "false"),
+    "email-address": ("concat(p_brand, '@', p_size)", "part", "p_partkey", "true"),
+    "hostname": ("p_brand", "part", "p_partkey", "true"),
+    "integer": ("cast(p_size - 25 as string)", "part", "p_partkey", "true"),
+    "non-negative-integer": ("cast(p_size - 25 as string)", "part", "p_partkey", "p_size >= 25"),
+    "positive-integer": ("cast(p_size - 25 as string)", "part", "p_partkey", "p_size > 25"),
+    "decimal": ("concat(p_size, '.', p_size)", "part", "p_partkey", "true"),
+    "boolean": ("cast(p_size % 4 as string)", "part", "p_partkey", "p_size % 4 < 2"),
+    "base64": ("base64(cast(p_brand as binary))", "part", "p_partkey", "true"),
+    "date": ("concat('2020-', lpad(cast(p_size % 14 as string), 2, '0'), '-30')", "part", "p_partkey", "p_size % 14 BETWEEN 1 AND 12 AND p_size % 14 <> 2"),
+    "date-with-timezone": ("concat('2020-01-30', if(p_size % 2 = 0, 'Z', ''))", "part", "p_partkey", "p_size % 2 = 0"),
+    "date-time": ("date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")", "orders", "o_orderkey", "true"),
+    "date-time-with-timezone": ("concat(date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\"), if(o_orderkey % 3 = 0, '+02:00', ''))", "orders", "o_orderkey", "o_orderkey % 3 = 0"),
+    "day-time-duration": ("concat('P', p_size, if(p_size % 2 = 0, 'D', 'Y'))", "part", "p_partkey", "p_size % 2 = 0"),
+    "year-month-duration": ("concat('P', p_size, if(p_size % 2 = 0, 'M', 'D'))", "part", "p_partkey", "p_size % 2 = 0"),
+    "ip-v4-address": ("concat('10.0.', p_size * 10, '.1')", "part", "p_partkey", "p_size * 10 <= 255"),
+    "ip-v6-address": ("concat('2001:db8::', p_size, if(p_size % 3 = 0, ':', ''))", "part", "p_partkey", "p_size % 3 <> 0"),
+    "markup-line": ("p_brand", "part", "p_partkey", "true"),
+    "markup-multiline": ("p_brand", "part", "p_partkey", "true"),
+}
+
+
+def typed_query(name: str, column: str, table: str, key: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .functions.datatypes import is_valid
+
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, is_valid(name, F.expr(column)).alias("valid"))
+
+    QUERIES[f"typed_{name.replace('-', '_')}"] = run
+    ORACLES[f"typed_{name.replace('-', '_')}"] = f"SELECT {key}, {sql} AS valid FROM {table}"
+
+
+for _n, _spec in _TYPED.items():
+    typed_query(_n, *_spec)
+
+
+# the node table and sinks
+
+
+def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-order, size, level and parent of every node of the conversations."""
+    from .operators.nodes import node_rows
+
+    return node_rows(T.conversations(Engine(spark), sf_dir)).select("conv_id", "pre", "size", "level", "parent_pre", "kind", "name")
+
+
+QUERIES["node_table"] = node_table
+ORACLES["node_table"] = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations)
+SELECT conv_id, n + 1 AS pre, CAST(0 AS BIGINT) AS size, CAST(2 AS BIGINT) AS level, CAST(1 AS BIGINT) AS parent_pre, 'field' AS kind, 'turn' AS name FROM t
+UNION ALL SELECT DISTINCT conv_id, CAST(0 AS BIGINT), m + 1, CAST(0 AS BIGINT), NULL, 'document', 'conversation' FROM t
+UNION ALL SELECT DISTINCT conv_id, CAST(1 AS BIGINT), m, CAST(1 AS BIGINT), CAST(0 AS BIGINT), 'assembly', 'conversation' FROM t"""
+
+
+def fold_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as one JSON text; rows only, since engines format JSON differently."""
+    return T.conversations(Engine(spark), sf_dir).df.select("conv_id", F.to_json(F.struct(F.col("doc").alias("conversation"))).alias("json"))
+
+
+QUERIES["fold_json"] = fold_json
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.documents import windows_of
+
+    return windows_of(spark, sf_dir).select(F.col("start").cast("string").alias("start"), "event_type", "n")
+
+
+QUERIES["event_windows"] = event_windows
+ORACLES["event_windows"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY date_trunc('hour', ts), event_type"
