@@ -8,7 +8,7 @@ sketch serves a language or the whole corpus where a source is too small. Thresh
 Cases: a null or empty text has counts of 0 and fails the base rule (fewer than 10 words); null lang or source is a group
 of its own; repeated rows are judged alike, each; an empty table gives no rows; where even the whole corpus has fewer than
 ``least`` documents there is no threshold, and the base rule alone decides. Extra columns of the input pass through
-``filter_documents`` and never clash: working columns live in one struct named ``__quality``.
+``filter_documents`` as one struct, so that no name of theirs clashes.
 """
 
 from __future__ import annotations
@@ -138,7 +138,11 @@ def quality_report(docs: DataFrame, spread: float = 3.0, least: int = 200) -> Da
 
 
 def filter_documents(docs: DataFrame, spread: float = 3.0, least: int = 200) -> DataFrame:
-    """The documents that the rules keep, with all their columns. Texts are read twice and never shuffled."""
+    """The documents that the rules keep, with all their columns.
+
+    The counts are written beside the texts, so they are computed once and the texts are never shuffled."""
     scratch = Scratch(docs.sparkSession)
-    bounds = scratch.save(thresholds(sketches(with_counts(docs.select("lang", "source", "text"))), spread, least))
-    return judged(with_counts(docs), bounds).filter("__kept").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d")).select("d", "d.text", "d.lang", "d.source")
+    counted = scratch.save(with_counts(rows).drop("text"))
+    bounds = scratch.save(thresholds(sketches(counted), spread, least))
+    return judged(counted, bounds).filter("__kept").select("d.*")

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import reach_workers
+
 _own: dict[str, str] = {}
 
 
@@ -27,7 +29,7 @@ class Scratch:
     """Tables written once and read again, so that a lost executor costs no recomputation of what stands before."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = reach_workers(spark), f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
