@@ -263,6 +263,7 @@ def render(root: Node) -> str:
                 tables[-1][-1].append(text)
                 tables[-1][-1] += [""] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
         elif tag == "table":
+            out.end_line()  # text of the table outside its cells stands before it
             for line in _table(tables.pop()):
                 out.line.append(line)
                 out.end_line(True)

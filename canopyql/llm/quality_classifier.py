@@ -154,4 +154,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with all their columns; each text passes once, beside its own score."""
     model = fit(docs, labels)
-    return with_score(docs, model, into="__score", pass_columns=tuple(docs.columns)).filter(F.col("__score") >= threshold).select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d")).select("d", F.col("d.text").alias("text"))
+    return with_score(rows, model, pass_columns=("d",)).filter(F.col("score") >= threshold).select("d.*")

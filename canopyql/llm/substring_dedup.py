@@ -223,7 +223,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
 
 
 def _with_removed(kept: DataFrame, marks: DataFrame, window: int, texts: bool) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string()), ("was", pa.int64())] * texts)
 
     def finish(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -231,7 +231,8 @@ def _with_removed(kept: DataFrame, marks: DataFrame, window: int, texts: bool) -
         marked, rows = _Marked(marks), rows.combine_chunks()
         ids, column = rows["doc_id"].to_numpy(), rows["text"].combine_chunks()
         offsets, data = text_buffer(column)
-        out: list[list] = [[], [], [], []]
+        was = rows["was"].combine_chunks() if texts else None
+        out: list[list] = [[], [], [], [], []]
         for i, j in chunks(offsets):
             w = Words(offsets, data, i, j)
             tags = _tags(w.hashes(), w.words)
@@ -245,10 +246,12 @@ def _with_removed(kept: DataFrame, marks: DataFrame, window: int, texts: bool) -
                 out[2].append(hashlib.sha256(joined).hexdigest())
                 if texts:
                     out[3].append(joined.decode("utf-8", "replace") if len(x) else column[i + k].as_py())
-        return pa.table([pa.array(ids), *(pa.array(x, t) for x, t in zip(out[: 3 + texts], (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=False))], schema=schema)
+                    out[4].append(was[i + k].as_py())
+        return pa.table([pa.array(ids), *(pa.array(x, t) for x, t in zip(out[: 3 + 2 * texts], (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=False))], schema=schema)
 
-    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return kept.select("part", "doc_id", "text").groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, ddl)
+    ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, was long" * texts
+    columns = ["part", "doc_id", "text", *([F.xxhash64("text").alias("was")] if texts else [])]
+    return kept.select(*columns).groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, ddl)
 
 
 def report(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -257,3 +260,22 @@ def report(docs: DataFrame, window: int = 50) -> DataFrame:
     kept, marks, _ = removed_windows(docs, scratch, window)
     plain = kept.filter("spans is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return plain.unionByName(_with_removed(kept.filter("spans is not null"), marks, window, False))
+
+
+def filter_documents(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The documents without removed words, with all their columns; n_chars, where there is one, is that of the new text.
+
+    Texts that lose no word stay as they are; of others the kept words are joined by one blank."""
+    scratch = Scratch(docs.sparkSession)
+    kept, marks, _ = removed_windows(docs, scratch, window)
+    changed = _with_removed(kept.filter("spans is not null"), marks, window, True).filter("n_removed > 0")
+    # rows of one doc_id are told apart by a checksum of their whole text; the input's columns travel as one struct, so that no name clashes
+    changed = changed.select(F.col("doc_id").alias("c_id"), F.col("was").alias("c_was"), F.col("kept_text").alias("c_text")).dropDuplicates(["c_id", "c_was"])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    rows = rows.select("d", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(-1)).alias("d_id"), F.xxhash64(F.coalesce("d.text", F.lit(""))).alias("d_was"))
+    joined = rows.join(changed, (F.col("d_id") == F.col("c_id")) & (F.col("d_was") == F.col("c_was")), "left")
+    out = {c: F.col("d")[c] for c in docs.columns}
+    out["text"] = F.coalesce("c_text", "d.text")
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("c_text").isNotNull(), F.length("c_text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return joined.select(*(v.alias(c) for c, v in out.items()))
