@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, html_text, jaccard_join, language_id, license_scan, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup
+from . import embedding_dedup, html_text, jaccard_join, language_id, license_scan, oracles, packing, quality_classifier, quality_rules, sentencepiece_codec, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -73,4 +73,9 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_jaccard_join": oracles.JACCARD,
+    "op5_embedding_dedup": oracles.EMBEDDINGS,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op7_quality_rules": oracles.quality(quality_rules.METRICS, quality_rules.NOISE, 3.0, 200),
+}
