@@ -25,7 +25,7 @@ def _targets(docs: Documents, context: str, target: str, values: list[str] = ())
     doc = F.concat_ws("/", *(F.col(k).cast("string") for k in docs.keys))
     out = None
     for s in ctx.segs or []:
-        nodes = docs.df.select(doc.alias("__doc"), F.explode(s.col if ctx.many else listed(s.col)).alias("c")).withColumnRenamed("__doc", "doc")
+        nodes = docs.df.filter(F.col("doc").isNotNull()).select(doc.alias("__doc"), F.explode(s.col if ctx.many else listed(s.col)).alias("c")).withColumnRenamed("__doc", "doc")
         here = member(s, F.col("c"))
         found = c.compile(target, Env(ctx=here, vars=docs.engine.variables))
         if found.segs is None and found.t != "empty":
@@ -108,7 +108,7 @@ def evaluate(docs: Documents, context: str, k: Constraint, indexes: dict[str, Da
         doc = F.concat_ws("/", *(F.col(x).cast("string") for x in docs.keys))
         out = none
         for s in ctx.segs or []:
-            nodes = docs.df.select(doc.alias("__doc"), F.explode(s.col if ctx.many else listed(s.col)).alias("c")).withColumnRenamed("__doc", "doc")
+            nodes = docs.df.filter(F.col("doc").isNotNull()).select(doc.alias("__doc"), F.explode(s.col if ctx.many else listed(s.col)).alias("c")).withColumnRenamed("__doc", "doc")
             n = count(c.compile(k.target, Env(ctx=member(s, F.col("c")), vars=docs.engine.variables)))
             rows = nodes.select("doc", F.lit("/" + "/".join(x.name for x in s.chain)).alias("location"), n.alias("n"))
             if k.least is not None:
