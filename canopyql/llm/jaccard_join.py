@@ -10,18 +10,20 @@ lost if both are. Deficient documents post their one-deletion neighbourhoods as
 differ, one differs by one shingle, unless most segments are empty; those few documents repeat the whole scheme with
 another hash, until none is left).
 
-Frequent subsets. A hash of more than 32 documents (a common passage, a large group of near copies) is hot. A document
+Frequent subsets. A hash of more than HOT documents (a common passage, a large group of near copies) is hot. A document
 may go without its hot postings as long as they fit into its slack: every partner then shares a posting that isn't hot.
-Only documents with more hot postings than slack stay in hot groups, and these are searched by stars and components:
-each member against the group's smallest, then against random ones, and only what is still apart pair by pair.
+Only documents with more hot postings than slack stay in hot groups. Each is compared with its group's smallest; a group that
+then lies within one component is settled, and its postings no longer count. What is still beyond its slack (documents that
+share much of their text without linking) is indexed by its rarest shingles, of which two that link must share one. That
+makes families, which are compared in blocks without emitting pairs.
 
-Verification computes both sets again from the texts and compares them whole. Each document is first compared with its
-smallest candidate; of the other candidates, only those between different components need to be compared, which finds the
-same components. Copies are joined where they meet in one task, before anything is posted.
+Verification. Sizes and odd sketches (parities of hashed shingles, which bound the difference from below) exclude pairs
+that can't link; of the rest both sets are computed again from the texts and compared whole. Equal sets (by a digest of 128 bits) are one: copies that meet in a
+task post once, and only the smallest id of all copies is compared.
 
 Cases: null or empty texts have no shingles and link with nothing; fewer than k words are one shingle; rows with equal doc_id are
 one node; an empty table gives no rows; extra columns are ignored. Postings travel in blobs (one row carries many), at
-most 32 of a hash from one flush.
+most HOT of a hash from one flush.
 """
 
 from __future__ import annotations
@@ -32,19 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .postings import part_column
 from .storage import Scratch
-from .words import U, Words, chunks, mix, ranges, text_buffer, window_hashes
-
-HOT = 32
-FLUSH = 1_500_000
-BUCKET_BYTES, PART_BYTES = 8 << 20, 6 << 20
+from .words import U, Words, binary_array, chunks, mix, ranges, release, text_buffer, window_hashes
+
+#: More documents than this make a posting's hash hot.
+HOT = 8
+RESERVE = 1.0
+#: Documents and shingles of a block of a family, two of which meet in one task.
+FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 1_000_000
+FLUSH = 400_000
+BUCKET_BYTES, PART_BYTES = 4 << 20, 3 << 20
 BAND_GROWTH = 1.5
-POSTING, HOT_MARK, DOCUMENT, LINK, PAIR, HOT_MEMBER = range(6)
+POSTING, HOT_MARK, DOCUMENT, PAIR, HOT_MEMBER, SKETCH = range(6)
 #: Segments up to which the cost of an allocation is tried beyond the least.
 TRIALS = 40
 
@@ -65,7 +72,6 @@ class Bands:
 
     def least_size(self, band: int) -> int:
         """Smallest size that may have a partner in the band."""
-        self._grow(self.edges[-1] if band + 1 < len(self.edges) else self.edges[-1] + 1)
         while len(self.edges) < band + 2:
             self._grow(self.edges[-1])
         return -(-self.edges[band] * self.percent // 100)
@@ -82,9 +88,11 @@ class Bands:
 
     @staticmethod
     def _cost(m: int, h: int, size: float) -> float:
-        """Postings of the subsets, and of the deletions if the empty segments exceed the slack (a normal tail)."""
+        """Postings of the subsets, and of the deletions if the empty segments exceed the slack (a normal tail).
+
+        A reserve of slack pays for the hot postings that a document may go without."""
         empty = m * math.exp(-size / m)
-        slack = m - h - 1 - empty
+        slack = m - h - 1 - empty - RESERVE * (4 + 0.1 * h)
         deficient = 0.5 * math.erfc((slack + 0.5) / math.sqrt(2 * max(empty, 0.05)))
         return m - empty + deficient * size
 
@@ -157,15 +165,33 @@ def signatures(s: np.ndarray, at: np.ndarray, bands: Bands) -> Iterator[tuple[np
             seed += 1
 
 
+def odd_sketches(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the shingles that fall on each bit: at least as many bits as shingles, 64 times a power of two, as words of 64.
+
+    Two sketches differ in at most as many bits as their sets in shingles; a longer one folds onto a shorter one."""
+    sizes = np.diff(at)
+    words = 1 << np.ceil(np.log2(np.maximum(-(-sizes // 64), 1))).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(words)])
+    spot = mix(s ^ U(0x3C79AC492BA7B653)) & np.repeat((words * 64 - 1).astype(U), sizes)
+    odd = np.bincount(np.repeat(base[:-1] * 64, sizes) + spot.astype(np.int64), minlength=int(base[-1]) * 64) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U), words
+
+
+def _fold(x: np.ndarray, n: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(x.reshape(-1, n), axis=0)
+
+
 def _table(rows: list[tuple]) -> pa.Table:
-    """kind, a, b, info from arrays."""
+    """kind, a, b, info and sketch from arrays; of a sketch or digest, a is the document and b the number of its shingles."""
     kinds = [np.full(len(a), k, np.int32) for k, a, _, _ in rows]
     cat = lambda i, t: np.concatenate([np.asarray(r[i]).astype(t) for r in rows] or [np.zeros(0, t)])
-    return pa.table({"kind": np.concatenate(kinds or [np.zeros(0, np.int32)]), "a": cat(1, np.int64), "b": cat(2, np.int64), "info": cat(3, np.int32)})
+    kind = np.concatenate(kinds or [np.zeros(0, np.int32)])
+    sketch = pa.nulls(len(kind), pa.binary())
+    return pa.table({"kind": kind, "a": cat(1, np.int64), "b": cat(2, np.int64), "info": cat(3, np.int32), "sketch": sketch})
 
 
 def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """(kind, a, b, info): documents with their sizes, links between copies, candidate pairs and members of hot groups."""
+    """(kind, a, b, info, sketch): documents with their sizes and digests, sketches, candidate pairs and members of hot groups."""
 
     def blobs(key: np.ndarray, kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(key):
@@ -209,17 +235,21 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
                 s, at = shingle_sets(w, k)
                 sizes, own = np.diff(at), ids[i:j]
                 turn += 1
-                yield from blobs(spread(len(own), turn), DOCUMENT, sizes, own, np.zeros(len(own)))
+                odd, count = odd_sketches(s, at)
+                first = np.full(len(odd), -1)
+                first[np.cumsum(count) - count] = sizes
+                b = np.full(len(odd) + 2 * len(own), turn % buckets, np.int32)
+                yield from blobs(b[: len(odd)], SKETCH, odd, np.repeat(own, count), first)
                 # copies within the chunk: the first stands for all
                 e = np.concatenate([np.zeros(1, U), np.cumsum(mix(s ^ U(0x5851F42D4C957F2D)), dtype=U)])
                 f = np.concatenate([np.zeros(1, U), np.cumsum(mix(s + U(0x14057B7EF767814F)), dtype=U)])
                 one, two = e[at[1:]] - e[at[:-1]], f[at[1:]] - f[at[:-1]]
+                digest = np.stack([one, two], 1).ravel()
+                yield from blobs(b[: len(digest)], DOCUMENT, digest, np.repeat(own, 2), np.stack([sizes, np.full(len(own), -1)], 1).ravel())
                 order = np.lexsort((own, two, one, sizes))
                 same = np.zeros(len(own), bool)
                 same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (sizes[order][1:] == sizes[order][:-1]) & (sizes[order][1:] > 0)
-                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(own))))] if len(own) else order
                 copies = order[same]
-                yield from blobs(spread(len(copies), turn), LINK, own[head[same]], own[copies], np.zeros(len(copies)))
                 alone = np.setdiff1d(np.arange(len(own)), copies)
                 n = sizes[alone]
                 at2 = np.concatenate([[0], np.cumsum(n)])
@@ -229,6 +259,7 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
                 if held >= FLUSH:
                     yield from flush()
         yield from flush()
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         by: dict[int, list] = {}
@@ -237,9 +268,10 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
                 by.setdefault(kind, []).append((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.int64), np.frombuffer(z.as_buffer(), np.int32)))
         get = lambda kind: [np.concatenate([r[i] for r in by.get(kind, [])] or [np.zeros(0, t)]) for i, t in enumerate((np.uint64, np.int64, np.int32))]
         out = []
-        for kind in (DOCUMENT, LINK, HOT_MEMBER):
-            x, y, z = get(kind)
-            out.append((kind, x.view(np.int64) if kind != DOCUMENT else y, y if kind != DOCUMENT else x, z))
+        x, y, z = get(HOT_MEMBER)
+        out.append((HOT_MEMBER, x.view(np.int64), y, z))
+        sketches = [_sketch_rows(kind, *r) for kind in (DOCUMENT, SKETCH) for r in by.get(kind, [])]
+        marks = get(HOT_MARK)[0]
         x, y, z = get(POSTING)
         by.clear()
         order = np.lexsort((y, x))
@@ -249,7 +281,7 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
         x, y, z = x[new], y[new], z[new]
         starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(starts, len(x)))
-        hot = (sizes > HOT) | np.isin(x[starts], get(HOT_MARK)[0])
+        hot = (sizes > HOT) | np.isin(x[starts], marks)
         member = np.repeat(hot, sizes)
         out.append((HOT_MEMBER, x[member].view(np.int64), y[member], z[member]))
         first, second = [], []
@@ -263,10 +295,122 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
         if first:
             pairs = np.unique(np.stack([np.concatenate(first), np.concatenate(second)]), axis=1)
             out.append((PAIR, pairs[0], pairs[1], np.zeros(pairs.shape[1])))
-        return _table(out)
+        del x, y, z, order
+        release()
+        return pa.concat_tables([_table(out), *sketches])
 
     posted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").mapInArrow(post, "bucket int, kind int, x binary, y binary, z binary")
-    return posted.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, info int")
+    return posted.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, info int, sketch binary")
+
+
+def _sketch_rows(kind: int, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> pa.Table:
+    """Rows of one blob of sketches or digests; z is a document's size at the first of its words of 64 bits, else -1."""
+    at = np.append(np.flatnonzero(z >= 0), len(y))
+    n = len(at) - 1
+    return pa.table({"kind": np.full(n, kind, np.int32), "a": y[at[:-1]], "b": z[at[:-1]].astype(np.int64), "info": np.zeros(n, np.int32), "sketch": binary_array(x, at * 8)})
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b) those that sizes and sketches can't exclude; no pair that links is lost.
+
+    sketches: (doc_id, n, sketch). Of repeated ids with several sketches any may speak for the pair."""
+
+    def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        own: dict[int, list] = {}
+        for d, n, x in zip(right["doc_id"].to_pylist(), right["n"].to_pylist(), right["sketch"].to_pylist(), strict=True):
+            own.setdefault(d, []).append((n, np.frombuffer(x, U)))
+        keep = []
+        for b, n, x in zip(left["b"].to_pylist(), left["n_a"].to_pylist(), left["sketch_a"].to_pylist(), strict=True):
+            x, fits = np.frombuffer(x, U), False
+            for m, y in own.get(b, ()):
+                if 100 * min(n, m) >= percent * max(n, m):
+                    w = min(len(x), len(y))
+                    fits = fits or int(np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum()) * (100 + percent) <= (100 - percent) * (n + m)
+            keep.append(fits)
+        keep = np.array(keep, bool)
+        return pa.table({"a": left["a"].to_numpy()[keep], "b": left["b"].to_numpy()[keep]}, schema=schema)
+
+    own = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    carried = pairs.join(own, "a").select(part_column(F.col("b"), parts).alias("part"), "a", "b", "n_a", "sketch_a")
+    whole = sketches.select(part_column(F.col("doc_id"), parts).alias("part"), "doc_id", "n", "sketch")
+    return carried.groupBy("part").cogroup(whole.groupBy("part")).applyInArrow(compare, "a long, b long").distinct()
+
+
+def family_links(own: DataFrame, rare: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) between documents of different components that share a rare shingle, directly or through others.
+
+    Such documents form families, often large ones of near misses. A family is dealt out as pairs of blocks of bounded size;
+    in a task all intersections are products of incidence matrices, and only links come out, never pairs.
+    own: (doc, c, s) with the set of each document; rare: (gid, doc)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, c, block = (table[n].to_numpy() for n in ("doc", "c", "block"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        lists = table["s"].combine_chunks()
+        sizes = np.asarray(pc.list_value_length(lists))
+        token, row = pc.list_flatten(lists).to_numpy(), np.repeat(np.arange(len(doc)), sizes)
+        distinct, column, n = np.unique(token, return_inverse=True, return_counts=True)
+        use = n[column] > 1
+        row, column = row[use], np.unique(column[use], return_inverse=True)[1]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        place = np.zeros(len(doc), np.int64)
+        inner = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, int(column.max(initial=-1)) + 1, 4096):
+            x, y = np.searchsorted(column, [first, first + 4096])
+            halves = []
+            for half in (left, right):
+                place[:] = -1
+                place[half] = np.arange(len(half))
+                at = place[row[x:y]]
+                m = np.zeros((len(half), 4096), np.float32)
+                m[at[at >= 0], column[x:y][at >= 0] - first] = 1
+                halves.append(m)
+            inner += halves[0] @ halves[1].T
+        union = sizes[left][:, None] + sizes[right][None, :] - inner
+        linked = (100 * inner >= percent * union) & (c[left][:, None] != c[right][None, :])
+        p, q = np.nonzero(linked)
+        release()
+        return pa.table({"a": doc[left[p]], "b": doc[right[q]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    star = rare.join(rare.groupBy("gid").agg(F.min("doc").alias("a")), "gid").filter("a < doc").select("a", F.col("doc").alias("b")).distinct()
+    family = components(star, scratch)
+    member = own.join(family, F.col("doc") == F.col("node")).select("doc", "c", "s", F.col("component").alias("family"))
+    room = member.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.size("s")) / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_BLOCK)).cast("int").alias("blocks"))
+    m = member.join(room, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("family", "doc", "c", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return m.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").filter("a <> b").distinct()
+
+
+def sets_of(texts: DataFrame, rest: DataFrame, k: int) -> DataFrame:
+    """(doc, c, s): the shingles of the documents of rest (doc, c)."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = text_buffer(batch.column(2))
+            for i, j in chunks(offsets):
+                s, at = shingle_sets(Words(offsets, data, i, j, lower=True), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))], ["doc", "c", "s"])
+        release()
+
+    return texts.join(rest, texts["doc_id"] == rest["doc"]).select("doc", "c", "text").mapInArrow(shingles, "doc long, c long, s array<long>")
+
+
+def rarest_shingles(own: DataFrame, percent: int) -> DataFrame:
+    """(gid, doc): of each document its rarest shingles, so many that two that link share one of them.
+
+    A shingle that only one of them has comes first and needs no row, so a passage that all of them hold is hardly ever reached."""
+    each = own.select("doc", "c", F.size("s").alias("n"), F.explode("s").alias("gid"))
+    often = each.groupBy("gid").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = each.join(often, "gid")
+    by_doc = Window.partitionBy("doc", "n")
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    ranked = shared.select("gid", "doc", F.row_number().over(by_doc.orderBy("often", "gid")).alias("rank"), (prefix - F.col("n") + F.count("*").over(by_doc)).alias("room"))
+    return ranked.filter("rank <= room").select("gid", "doc").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
@@ -294,6 +438,8 @@ def verified(pairs: DataFrame, texts: DataFrame, parts: int, k: int, percent: in
             inner = len(np.intersect1d(p, q, assume_unique=True))
             keep.append(inner > 0 and 100 * inner >= percent * (len(p) + len(q) - inner))
         keep = np.array(keep)
+        del these, those
+        release()
         return pa.table({"a": a[keep], "b": b[keep]}, schema=schema)
 
     carried = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select(part_column(F.col("b"), parts).alias("part"), "a", "b", "text_a")
@@ -301,44 +447,41 @@ def verified(pairs: DataFrame, texts: DataFrame, parts: int, k: int, percent: in
     return carried.groupBy("part").cogroup(whole.groupBy("part")).applyInArrow(compare, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     scratch = Scratch(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = scratch.save(candidates(docs, k, percent, max(24, math.ceil(size / BUCKET_BYTES))))
     of = lambda kind: found.filter(F.col("kind") == kind)
-    cold = scratch.save(of(PAIR).select("a", "b").distinct())
+    sketches = of(SKETCH).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "sketch")
+    parts = max(25, math.ceil(size / PART_BYTES) | 1)
     hot = of(HOT_MEMBER).select(F.col("a").alias("gid"), F.col("b").alias("doc"), "info")
     band = F.shiftright("info", 16)
-    over = hot.groupBy("doc", band.alias("band")).agg(F.count("*").alias("n"), F.min(F.col("info").bitwiseAND(65535)).alias("slack")).filter("n > slack").select("doc", "band")
-    hot = scratch.save(hot.withColumn("band", band).join(over, ["doc", "band"], "left_semi").select("gid", "doc").distinct())
-    center = hot.groupBy("gid").agg(F.min("doc").alias("a"))
-    star = hot.join(center, "gid").filter("a < doc").select("a", F.col("doc").alias("b"))
-    first = scratch.save(cold.unionByName(star).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    named = cold.select(F.col("a").alias("doc_id")).union(cold.select("b")).union(hot.select("doc")).distinct()
+    over = hot.groupBy("doc", band.alias("band")).agg(F.count("*").alias("n"), F.min(F.col("info").bitwiseAND(65535)).alias("slack")).filter("n > slack").select("doc", "band", "slack")
+    # equal sets are one: the smallest id stands for all, and only it is compared
+    same = of(DOCUMENT).filter("b > 0")
+    same = same.join(same.groupBy(F.col("b").alias("n"), F.col("sketch").alias("digest")).agg(F.min("a").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), (F.col("b") == F.col("n")) & (F.col("sketch") == F.col("digest")))
+    copies = scratch.save(same.filter("a <> first").select(F.col("first").alias("a"), F.col("a").alias("b")))
+    gone = copies.select(F.col("b").alias("gone"))
+    single = lambda df, c: df.join(gone, F.col(c) == F.col("gone"), "left_anti")
+    hot = scratch.save(single(hot.select("gid", "doc", band.alias("band")), "doc").join(over, ["doc", "band"]).distinct())
+    star = hot.join(hot.groupBy("gid").agg(F.min("doc").alias("a")), "gid").filter("a < doc").select("a", F.col("doc").alias("b"))
+    pairs = scratch.save(plausible(single(single(of(PAIR).select("a", "b"), "a"), "b").union(star).distinct(), sketches, parts, percent))
+    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("doc")).distinct()
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     texts = scratch.save(plain.join(named, "doc_id", "left_semi"))
-    parts = max(25, math.ceil(size / PART_BYTES) | 1)
-    links = scratch.save(of(LINK).select("a", "b").unionByName(verified(first, texts, parts, k, percent)))
+    links = scratch.save(copies.union(verified(pairs, texts, parts, k, percent)))
     label = components(links, scratch)
-    has_hot = hot.limit(1).count() > 0
-    for r in range(rounds * has_hot + 1):
-        with_label = lambda df, c, to: df.join(label.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-        if r < rounds * has_hot:
-            member = with_label(hot, "doc", "c")
-            pick = member.groupBy("gid").agg(F.min_by(F.struct("doc", "c"), F.xxhash64("doc", F.lit(r))).alias("p"), F.countDistinct("c").alias("n")).filter("n > 1")
-            more = member.join(pick, "gid").filter("c <> p.c").select(F.least("doc", "p.doc").alias("a"), F.greatest("doc", "p.doc").alias("b"))
-        else:
-            more = with_label(with_label(cold, "a", "x"), "b", "y").filter("x <> y").select("a", "b")
-            if has_hot:
-                member = with_label(hot, "doc", "c")
-                split = member.join(member.groupBy("gid").agg(F.countDistinct("c").alias("n")).filter("n > 1"), "gid", "left_semi")
-                other = split.select("gid", F.col("doc").alias("b"), F.col("c").alias("d"))
-                more = more.unionByName(split.join(other, "gid").filter("doc < b and c <> d").select(F.col("doc").alias("a"), "b"))
-        more = scratch.save(more.distinct())
-        if more.limit(1).count():
-            links = scratch.save(links.unionByName(verified(more, texts, parts, k, percent)))
-            label = components(links, scratch)
+    # a group within one component is settled: its postings no longer count against a document's slack
+    member = hot.join(label, hot["doc"] == label["node"], "left").select("gid", "doc", "band", "slack", F.coalesce("component", "doc").alias("c"))
+    split = member.join(member.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("gid"), "gid", "left_semi")
+    rest = scratch.save(split.groupBy("doc", "band", "c").agg(F.count("*").alias("n"), F.min("slack").alias("s")).filter("n > s").select("doc", "c").distinct())
+    if rest.limit(1).count():
+        own = sets_of(texts, rest, k)
+        rare = scratch.save(rarest_shingles(own, percent))
+        found_links = scratch.save(family_links(own, rare, scratch, percent))
+        if found_links.limit(1).count():
+            label = components(links.union(found_links), scratch)
     sizes = of(DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return sizes.join(label, sizes["doc_id"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

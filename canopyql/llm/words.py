@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,15 @@ _LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Gives freed memory back to the system at the end of a task: workers are kept and would hold on to their largest batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, in place."""
     h ^= h >> U(33)
