@@ -223,3 +223,56 @@ def convert(docs, module: Module, root: str, fmt: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["path", "content"])
 
     return docs.df.select("path", F.to_json("raw").alias("json")).mapInArrow(write, "path string, content string")
+
+
+NODES = "path string, pre long, size long, level int, parent_pre long, sib_ord int, kind string, name string, node_path string, raw string, type_name string, flags map<string,string>"
+
+
+def _walk(d: Definition, node: dict, name: str) -> list[tuple]:
+    """Node rows of a document in pre-order, with explicit stack, so that any depth and recursive models work."""
+    rows: list[list] = [[0, 0, 0, None, 1, "document", name, f"/{name}", None, None, []]]
+    stack = [(d, node, name, f"/{name}/{name}", 1, 0, 1)]
+    open_rows: list[tuple[int, int]] = [(0, 0)]
+    while stack:
+        d, node, name, path, level, parent, order = stack.pop()
+        pre = len(rows)
+        while open_rows[-1][1] >= level:
+            p, _ = open_rows.pop()
+            rows[p][1] = pre - p - 1
+        flags = [(f.name, node[f.name]) for f in d.flags if node.get(f.name) is not None]
+        rows.append([pre, 0, level, parent, order, d.kind, name, path, node.get(raw_name(d)) if d.kind == "field" else None, d.datatype if d.kind == "field" else None, flags])
+        open_rows.append((pre, level))
+        below, n = [], 0
+        for i in d.children():
+            nodes = node.get(i.name) if i.definition else None
+            for x in (nodes if isinstance(nodes, list) else [nodes] if nodes else []):
+                n += 1
+                below.append((i.definition, x, i.name, f"{path}/{i.name}", level + 1, pre, n))
+        stack.extend(reversed(below))
+    for p, _ in open_rows:
+        rows[p][1] = len(rows) - p - 1
+    return [tuple(r) for r in rows]
+
+
+def read_nodes(engine, contents: DataFrame, module: Module, root: str, fmt: str | None = None) -> DataFrame:
+    """The node table of rows (path, content), for any model, recursive ones included; documents that can't be parsed have no rows."""
+    from ..session import reach_workers
+
+    reach_workers(contents.sparkSession)
+    d = module.roots()[root]
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    node = canonical(d, content or "", fmt or detect_format(content or "", path or ""))
+                except Exception:  # noqa: BLE001  read_documents reports it
+                    node = None
+                if node is None:
+                    continue
+                columns = list(zip(*_walk(d, node, root), strict=True))
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.string()] * 5, pa.map_(pa.string(), pa.string()))
+                arrays = [pa.array([path] * len(columns[0]), pa.string()), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, ["path", "pre", "size", "level", "parent_pre", "sib_ord", "kind", "name", "node_path", "raw", "type_name", "flags"])
+
+    return contents.select("path", "content").mapInArrow(parse, NODES)

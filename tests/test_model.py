@@ -100,6 +100,17 @@ def test_recursive_model():
         generate.spark_schema(m.roots()["part"])
 
 
+def test_nodes_of_a_recursive_model(spark):
+    from canopyql.operators.nodes import descendants
+
+    m = Loader().parse('<M><define-flag name="n"/><define-assembly name="part"><root-name>part</root-name><flag ref="n"/><model><assembly ref="part" max-occurs="unbounded"><group-as name="parts"/></assembly></model></define-assembly></M>')
+    text = '{"part": {"n": "a", "parts": [{"n": "b", "parts": [{"n": "c"}]}, {"n": "d"}]}}'
+    nodes = files.read_nodes(Engine(spark), spark.createDataFrame([("x.json", text), ("y.json", "{")], "path string, content string"), m, "part")
+    rows = sorted((r.pre, r.size, r.level, r.parent_pre, r.flags.get("n")) for r in nodes.collect())
+    assert rows == [(0, 4, 0, None, None), (1, 3, 1, 0, "a"), (2, 1, 2, 1, "b"), (3, 0, 3, 2, "c"), (4, 0, 2, 1, "d")]
+    assert descendants(nodes, ["path"]).count() == sum(r[1] for r in rows)
+
+
 def test_command_line(tmp_path, capsys):
     from canopyql.__main__ import main
 
