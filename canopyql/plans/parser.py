@@ -326,3 +326,21 @@ class Parser:
 def parse(text: str) -> tuple:
     """The tree of an expression; PathSyntaxError if it isn't one."""
     return Parser(text).whole()
+
+
+def flags_of(tree: tuple | list) -> set[str] | None:
+    """Names of all flags that an expression reads, None if it may read any."""
+    out: set[str] = set()
+    if isinstance(tree, tuple) and tree[:2] == ("step", "flag"):
+        if tree[2][0] != "name" or "*" in tree[2][1]:
+            return None
+        out.add(tree[2][1])
+    if isinstance(tree, tuple) and tree[:2] == ("call", "deep-equal"):
+        return None
+    for x in tree:
+        if isinstance(x, (tuple, list)):
+            inner = flags_of(x)
+            if inner is None:
+                return None
+            out |= inner
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .plans.model import V
+from .plans.parser import flags_of, parse
 from .sources import tables as T
 
 QUERIES: dict = {}
@@ -18,7 +19,9 @@ def path_query(name: str, view: str, expression: str, sql: str, kind: str = "eva
     """An expression over a view: every item (eval), one item (single) or an effective boolean value (boolean) per document."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _VIEWS[view](Engine(spark), sf_dir)
+        # where no position of a line comes out, only the flags that the expression names are read
+        free = view in ("T", "O") and (drop_pos or kind != "eval")
+        docs = _VIEWS[view](Engine(spark), sf_dir, *([flags_of(parse(expression))] if free else []))
         out = getattr(docs, {"eval": "eval", "single": "eval_single", "boolean": "eval_boolean"}[kind])(expression)
         out = out.withColumn("value", F.col("value").cast(cast)) if cast else out
         return out.drop("pos") if drop_pos else out

@@ -38,25 +38,46 @@ def ordered(df: DataFrame, by: str, item, name: str) -> DataFrame:
     return df.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias(name))
 
 
-def customers(eng: Engine, sf_dir: str) -> Documents:
-    """View T: customer > order > line. Two shuffles, on the order key and on the customer key."""
-    line = _read(eng.spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*(F.col(f"l_{n}").alias(n) for n in ("linenumber", "partkey", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus")), _moment("l_shipdate").alias("shipdate")).alias("x"))
-    lines = ordered(line, "l_orderkey", F.col("x"), "lines")
-    o = _read(eng.spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    item = F.struct(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("orderstatus"), F.col("o_totalprice").alias("totalprice"), _moment("o_orderdate").alias("orderdate"), F.col("o_orderpriority").alias("priority"), or_none("lines").alias("lines"))
-    orders = ordered(o.select("o_custkey", item.alias("x")), "o_custkey", F.col("x"), "orders")
+def _only(node: NodeType, flags: set[str] | None) -> NodeType:
+    """The node type with some of its flags; None keeps all."""
+    keep = {n: x for n, x in node.flags.items() if flags is None or n in flags}
+    return NodeType(node.name, node.kind, keep, [Child(_only(c.node, flags), c.field, c.many) for c in node.children], node.value)
+
+
+def _struct(node: NodeType, columns: dict, *more):
+    """The flags of a node as a struct of columns, in the node's order."""
+    return F.struct(*(columns[f].alias(f) for _, f in node.flags.values()), *more) if node.flags or more else F.struct(F.lit(1).alias("__"))
+
+
+def _order_columns(eng: Engine, sf_dir: str, node: NodeType) -> tuple[DataFrame, dict]:
+    """Orders with their lines. Only the columns of the flags that are kept are read."""
+    line = node.children[0].node
+    columns = {n: F.col(f"l_{n}") for n in ("linenumber", "partkey", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus")} | {"shipdate": _moment("l_shipdate")}
+    lines = ordered(_read(eng.spark, sf_dir, "lineitem").select("l_orderkey", _struct(line, columns).alias("x")), "l_orderkey", F.col("x"), "lines")
+    df = _read(eng.spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return df, {"orderkey": F.col("o_orderkey"), "orderstatus": F.col("o_orderstatus"), "totalprice": F.col("o_totalprice"), "orderdate": _moment("o_orderdate"), "priority": F.col("o_orderpriority")}
+
+
+def customers(eng: Engine, sf_dir: str, flags: set[str] | None = None) -> Documents:
+    """View T: customer > order > line. Two shuffles, on the order key and on the customer key.
+
+    flags: only these are read; lines that agree in all kept flags then have no order of their own."""
+    node = _only(CUSTOMER, flags)
+    order = node.children[0].node
+    order.flags.setdefault("orderkey", ORDER.flags["orderkey"])
+    order.flags = {n: order.flags[n] for n in ORDER.flags if n in order.flags}
+    o, columns = _order_columns(eng, sf_dir, order)
+    orders = ordered(o.select("o_custkey", _struct(order, columns, or_none("lines").alias("lines")).alias("x")), "o_custkey", F.col("x"), "orders")
     c = _read(eng.spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    doc = F.struct(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("acctbal"), or_none("orders").alias("orders"))
-    return eng.docs(c.select("c_custkey", doc.alias("doc")), ["c_custkey"], CUSTOMER)
+    own = {"custkey": F.col("c_custkey"), "name": F.col("c_name"), "nation": F.col("c_nationkey"), "segment": F.col("c_mktsegment"), "acctbal": F.col("c_acctbal")}
+    return eng.docs(c.select("c_custkey", _struct(node, own, or_none("orders").alias("orders")).alias("doc")), ["c_custkey"], node)
 
 
-def orders(eng: Engine, sf_dir: str) -> Documents:
-    """Orders as documents of their own: order > line."""
-    line = _read(eng.spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*(F.col(f"l_{n}").alias(n) for n in ("linenumber", "partkey", "suppkey", "quantity", "extendedprice", "discount", "tax", "returnflag", "linestatus")), _moment("l_shipdate").alias("shipdate")).alias("x"))
-    lines = ordered(line, "l_orderkey", F.col("x"), "lines")
-    o = _read(eng.spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    doc = F.struct(F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("orderstatus"), F.col("o_totalprice").alias("totalprice"), _moment("o_orderdate").alias("orderdate"), F.col("o_orderpriority").alias("priority"), or_none("lines").alias("lines"))
-    return eng.docs(o.select("o_orderkey", doc.alias("doc")), ["o_orderkey"], ORDER)
+def orders(eng: Engine, sf_dir: str, flags: set[str] | None = None) -> Documents:
+    """Orders as documents of their own: order > line. flags as for customers."""
+    node = _only(ORDER, flags)
+    o, columns = _order_columns(eng, sf_dir, node)
+    return eng.docs(o.select("o_orderkey", _struct(node, columns, or_none("lines").alias("lines")).alias("doc")), ["o_orderkey"], node)
 
 
 def conversations(eng: Engine, sf_dir: str) -> Documents:
