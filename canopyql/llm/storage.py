@@ -25,11 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Results are read lazily, so their tables stay as long as the driver runs."""
+    if path.startswith(("file:", "/")):
+        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), True)
+    elif spark.sparkContext._jsc is not None:
+        _delete(spark, path)
+
+
 class Scratch:
     """Tables written once and read again, so that a lost executor costs no recomputation of what stands before."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = reach_workers(spark), f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        atexit.register(_delete_at_exit, spark, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -41,7 +55,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
         for t in tables:
-            p = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, t._scratch_path)
