@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .model import DDL, EMPTY, NUMERIC, Child, NodeType, PathError, Seg, V, arr, count, instant, let, listed, none_of, number, one, or_none, text
+from .model import DDL, EMPTY, NUMERIC, Child, PathError, Seg, V, arr, count, instant, let, listed, none_of, number, one, or_none, text
 from .parser import parse
 
 FORWARD = ("child", "descendant", "descendant-or-self", "self", "flag", "following", "following-sibling")
