@@ -11,8 +11,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLUSH = 1_000_000
-#: ids, tags and counts: the documents of a blob; hashes and positions: their postings in order of documents.
-POSTINGS = "bucket int, ids binary, tags binary, counts binary, hashes binary, positions binary"
 MARKS = "part int, ids binary, tags binary, counts binary, positions binary"
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, chunks, mix, span_hashes, text_buffer
+from .words import U, Words, chunks, mix, release, span_hashes, text_buffer
 
 BITS = 18
 FEATURES = 1 << BITS
@@ -114,6 +114,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> tuple[np
                 rows.append((label, np.frombuffer(index.as_buffer(), np.int32), np.frombuffer(value.as_buffer(), np.float32)))
         if rows:
             weights, bias = train(rows)
+            rows.clear()
+            release()
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
     described = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "__label", "text").mapInArrow(describe, "doc_id long, label int, index binary, value binary")
@@ -141,6 +143,7 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "te
                     total += upto[at[1:]] - upto[at[:-1]]
                 score[i:j] = 1 / (1 + np.exp(-np.clip(bias + STREAMS * total / places, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*pass_columns, into])
+        release()
 
     return docs.select(*pass_columns, F.col(text).alias("__text")).mapInArrow(run, schema)
 

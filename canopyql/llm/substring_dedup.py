@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .postings import MARKS, Collector, by_hash, pack_rows, part_column, part_of, unpack
 from .storage import Scratch
-from .words import Words, chunks, ranges, text_buffer, window_hashes
+from .words import Words, chunks, ranges, release, text_buffer, window_hashes
 
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Text bytes for each bucket of postings and for each part of documents.
@@ -84,6 +84,8 @@ def _marks(flushed: DataFrame, parts: int, only_later: bool) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         p, settled = _settle(unpack(table), only_later)
         rows = list(pack_rows(part_of(p["ids"][settled], parts), p["ids"][settled], p["tags"][settled], p["positions"][settled]))
+        del p, settled
+        release()
         return pa.Table.from_batches(rows) if rows else pa.table([[]] * 5, names=["part", "ids", "tags", "counts", "positions"]).cast(pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "tags", "counts", "positions"))]))
 
     sent = flushed.filter("bucket is not null").select("bucket", "ids", "tags", "counts", "hashes", "positions")
@@ -160,6 +162,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
                 if c.add(a[use], ids[i:j][row], tags[row], place[use]):
                     yield from flush(c, False)
         yield from flush(c, False)
+        release()
 
     def candidates(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
         marked = _Marked(marks)
@@ -188,6 +191,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
                 else:
                     spans.append(None)
                     sha.append(hashlib.sha256(_joined(w, a, b, None)).hexdigest())
+        release()
         hit = pa.array([s is not None for s in spans])
         text = pa.compute.if_else(hit, column, pa.scalar(None, column.type))
         return pa.table([texts["part"].combine_chunks(), pa.array(ids), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), text, pa.array(spans, pa.binary())], schema=kept_schema)
@@ -208,6 +212,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
                 if c.add(a[use], ids[i:j][row], tags[row], ranges(np.diff(at))[use]):
                     yield from flush(c, True)
         yield from flush(c, True)
+        release()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
     flushed = scratch.save(rows.mapInArrow(anchors, FLUSHED))
@@ -247,6 +252,7 @@ def _with_removed(kept: DataFrame, marks: DataFrame, window: int, texts: bool) -
                 if texts:
                     out[3].append(joined.decode("utf-8", "replace") if len(x) else column[i + k].as_py())
                     out[4].append(was[i + k].as_py())
+        release()
         return pa.table([pa.array(ids), *(pa.array(x, t) for x, t in zip(out[: 3 + 2 * texts], (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=False))], schema=schema)
 
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, was long" * texts
