@@ -5,8 +5,9 @@ consecutive classes in several random sign orders. NN-descent then improves it:
 neighbours; where vectors meet they are compared with each other, and each keeps its best ``k``; this is the join of neighbours of neighbours.
 It ends when few lists change, or after ``rounds``. Edges of cosine >= ``threshold`` are links.
 
-A list whose k entries are all links is saturated and may hide more. The components of such nodes get enlarged lists: their members are
-compared in blocks of bounded size, each pair of blocks in a task of its own, and only counts come back, never pairs.
+A list whose entries are all links is saturated and may hide more, also outside its component. Such nodes are compared with all of
+their label in blocks of bounded size, each pair of blocks in a task of its own; only counts and a few links that join components
+come back, never pairs. Pairs of other nodes come from the lists.
 
 Recall is audited: a bounded sample of nodes is compared with all of their label; below ``least_recall`` the descent goes on with
 lists twice as long (``audit`` returns the figure; tests hold it against brute force).
@@ -31,6 +32,8 @@ from .postings import part_column
 from .storage import Scratch
 
 BLOCK = 512
+#: Vectors of a block of the exact search, two of which meet in one task.
+SEARCH_BYTES = 1 << 20
 ORDERS = 3
 CODE_BITS = 24
 #: Nodes whose recall is audited.
@@ -174,7 +177,7 @@ def descend(state: DataFrame, parts: int, k: int, turn: int) -> DataFrame:
 
 
 def audit(state: DataFrame, threshold: float) -> float:
-    """Share of the sampled nodes' links that the lists hold; a saturated list counts as whole (it gets enlarged)."""
+    """Share of the sampled nodes' links that the lists hold. Saturated lists don't count: `exact_search` finds those nodes' links."""
     sample = state.orderBy(F.xxhash64("cid")).limit(AUDITED).select("cid", "label", "vec", "nbrs", "sims").collect()
     if not sample:
         return 1.0
@@ -204,33 +207,62 @@ def audit(state: DataFrame, threshold: float) -> float:
         for b in search(batches):
             for q, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own, full = known.value[q]
-                n, hit = n + 1, hit + (full or x in own)
+                n, hit = n + (not full), hit + (not full and x in own)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([hit], pa.int64())], ["n", "hit"])
 
     n, hit = state.select("cid", "label", "vec").mapInArrow(tally, "n long, hit long").agg(F.sum("n"), F.sum("hit")).first()
     return hit / n if n else 1.0
 
 
-def enlarged_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """Linked vectors of each class of saturated components, by pairs of blocks. members: (cid, component, copies, vec)."""
+def exact_search(nodes: DataFrame, threshold: float) -> DataFrame:
+    """All linked pairs with an end that asks, by pairs of blocks of one label. nodes: (label, cid, copies, vec, c, ask).
+
+    Rows (cid, n, a, b), never pairs: n linked vectors of cid in one pair of blocks, or a link (a, b) of components c; in a task
+    links of components that others join already are left out."""
 
     def compare(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("cid", pa.int64()), ("n", pa.int64())])
-        x, ids, copies = _unit(table["vec"].to_pylist()), table["cid"].to_numpy(), table["copies"].to_numpy()
+        x, ids, copies, c = _unit(table["vec"].to_pylist()), table["cid"].to_numpy(), table["copies"].to_numpy(), table["c"].to_numpy()
         block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        near = x[left] @ x[right].T >= threshold
-        if i == j:
-            np.fill_diagonal(near, False)
-            return pa.table({"cid": ids[left], "n": near @ copies[right]}, schema=schema)
-        return pa.table({"cid": np.concatenate([ids[left], ids[right]]), "n": np.concatenate([near @ copies[right], copies[left] @ near])}, schema=schema)
-
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    counts = m.select("component", "i", "j", "block", "cid", "copies", "vec").groupBy("component", "i", "j").applyInArrow(compare, "cid long, n long")
-    return counts.groupBy("cid").agg(F.sum("n").alias("n"))
+        named, c = np.unique(c, return_inverse=True)
+        root, n = np.arange(len(named)), np.zeros(len(ids), np.int64)
+        step = max(1, (1 << 21) // max(1, len(right)))
+        for s in range(0, len(left), step):
+            rows = left[s : s + step]
+            near = x[rows] @ x[right].T >= threshold
+            if i == j:
+                near &= np.arange(len(right)) > np.arange(s, s + len(rows))[:, None]
+            p, q = np.nonzero(near)
+            p, q = rows[p], right[q]
+            n += np.bincount(p, copies[q], len(ids)).astype(np.int64) + np.bincount(q, copies[p], len(ids)).astype(np.int64)
+            _join(root, c[p], c[q])
+        some, joined = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(root)))
+        none = lambda k: pa.nulls(k, pa.int64())
+        columns = [(pa.array(ids[some]), none(len(joined))), (pa.array(n[some]), none(len(joined))), (none(len(some)), pa.array(named[joined])), (none(len(some)), pa.array(named[root[joined]]))]
+        return pa.table({k: pa.chunked_array(v, pa.int64()) for k, v in zip(("cid", "n", "a", "b"), columns, strict=True)})
+
+    of = lambda ask: F.ceil(F.count_if(F.col("ask") == ask) * F.col("bytes") / SEARCH_BYTES).cast("int")
+    nodes = nodes.withColumn("bytes", F.length("vec"))
+    sizes = nodes.groupBy("label", "bytes").agg(of(True).alias("asking"), of(False).alias("others")).filter("asking > 0")
+    m = nodes.join(sizes, ["label", "bytes"])
+    # blocks of those that ask come first and meet all blocks; the others meet them only
+    m = m.withColumn("block", F.when(F.col("ask"), F.pmod(F.xxhash64("cid"), F.col("asking"))).otherwise(F.col("asking") + F.pmod(F.xxhash64("cid"), F.greatest("others", F.lit(1)))).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("ask"), F.col("asking") + F.col("others")).otherwise(F.col("asking")) - 1)))
+    m = m.select("label", "bytes", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "copies", "vec", "c")
+    return m.groupBy("label", "bytes", "i", "j").applyInArrow(compare, "cid long, n long, a long, b long")
+
+
+def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Let the linked u and v have one root, the least."""
+    while True:
+        x, y = root[u], root[v]
+        differ = x != y
+        if not differ.any():
+            return
+        u, v, x, y = u[differ], v[differ], x[differ], y[differ]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root[:] = root[root]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 12, rounds: int = 4, least_recall: float = 0.97) -> DataFrame:
@@ -261,15 +293,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 12, ro
         k *= 2
     near = state.select("cid", F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).filter(F.col("x.sims") >= threshold).select("cid", F.col("x.nbrs").alias("v"))
     links = scratch.save(near.select(F.least("cid", "v").alias("a"), F.greatest("cid", "v").alias("b")).distinct())
-    label = components(links, scratch)
-    full = state.filter((F.size("sims") >= k) & (F.array_min("sims") >= threshold)).select(F.col("cid").alias("node")).join(label, "node").select("component").distinct()
-    linked = state.select("cid", "copies", "vec").join(label, F.col("cid") == F.col("node")).select("cid", "component", "copies", "vec")
-    saturated = scratch.save(linked.join(full, "component", "left_semi"))
-    big = enlarged_counts(saturated, threshold)
-    both = links.select("a", "b").union(links.select("b", "a")).join(saturated.select(F.col("cid").alias("a")), "a", "left_anti")
-    small = both.join(state.select(F.col("cid").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n")).select(F.col("a").alias("cid"), "n")
-    counts = big.unionByName(small)
-    per_class = state.select("cid", "copies").join(counts, "cid", "left").join(label, F.col("cid") == F.col("node"), "left")
+    known = components(links, scratch)
+    # a list that holds nothing but links may hide more, however long it is
+    ask = F.coalesce(F.array_min("sims") >= threshold, F.lit(True))
+    nodes = scratch.save(state.select("label", "cid", "copies", "vec", ask.alias("ask")).join(known, F.col("cid") == F.col("node"), "left").select("label", "cid", "copies", "vec", "ask", F.coalesce("component", "cid").alias("c")))
+    found = scratch.save(exact_search(nodes, threshold))
+    label = components(links.unionByName(found.filter("a is not null").select("a", "b")), scratch)
+    asked = nodes.filter("ask").select(F.col("cid").alias("asked"))
+    both = links.join(asked, F.col("a") == F.col("asked"), "left_anti").join(asked, F.col("b") == F.col("asked"), "left_anti")
+    both = both.union(both.select("b", "a"))
+    listed = both.join(nodes.select(F.col("cid").alias("b"), "copies"), "b").select(F.col("a").alias("cid"), F.col("copies").alias("n"))
+    counts = found.filter("cid is not null").select("cid", "n").unionByName(listed).groupBy("cid").agg(F.sum("n").alias("n"))
+    per_class = nodes.select("cid", "copies").join(counts, "cid", "left").join(label, F.col("cid") == F.col("node"), "left")
     per_class = per_class.select("cid", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     key = fit.groupBy("label", "e").agg(F.min("vec_id").alias("cid"))
     named = rows.withColumn("ok", valid(F.col("e"), F.col("label"))).alias("r").join(key.alias("k"), F.col("r.ok") & (F.col("r.label") == F.col("k.label")) & (F.col("r.e") == F.col("k.e")), "left")

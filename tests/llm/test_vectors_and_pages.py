@@ -57,6 +57,38 @@ def test_vectors(spark, k):
     assert all(x.kept == (x.component_id == x.vec_id) for x in got.values())
 
 
+def vectors_by_force(rows):
+    x = np.array([v for v, _ in rows], np.float32).astype(float)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    label = np.array([y for _, y in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(near, False)
+    return near.sum(1).tolist(), roots(len(rows), np.argwhere(np.triu(near)).tolist())
+
+
+def found_vectors(spark, rows, **options):
+    d = spark.createDataFrame([(i, v, y) for i, (v, y) in enumerate(rows)], "vec_id long, embedding array<float>, label int")
+    got = {x.vec_id: x for x in embedding_dedup.near_duplicates(d, **options).collect()}
+    return [got[i].n_links for i in range(len(rows))], [got[i].component_id for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("size", [1 << 14, 1 << 20])
+def test_full_lists_hide_another_group(spark, size, monkeypatch):
+    """Two groups of near copies whose lists hold their own group only, though most pairs across link."""
+    monkeypatch.setattr(embedding_dedup, "SEARCH_BYTES", size, raising=False)
+    monkeypatch.setattr(embedding_dedup, "EXACT", 0, raising=False)
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a = unit(r.standard_normal(64))
+    o = r.standard_normal(64)
+    centres = [a, unit(a + 0.25 * unit(o - (o @ a) * a))]
+    rows = [(unit(c + 0.175 * unit(r.standard_normal(64))).astype(np.float32).tolist(), 0) for c in centres for _ in range(150)]
+    rows += [(r.standard_normal(64).astype(np.float32).tolist(), int(i % 2)) for i in range(100)]
+    links, component = vectors_by_force(rows)
+    assert component[150] == 0 and min(links[:300]) > 150
+    assert found_vectors(spark, rows) == (links, component)
+
+
 def test_vectors_of_an_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
