@@ -2,7 +2,8 @@
 
 A text is lower-cased (A-Z) and cut into words of letters, digits and non-ASCII characters; every regular expression sees
 the words joined by single blanks, so line breaks and punctuation never hide a notice. A document that holds none of the
-gate stems costs a few substring searches. Of the others, only rules whose keyword occurs are run. Each match is an
+gate stems costs a few substring searches. Of the others, only rules whose keywords occur are run; every match of a rule
+holds its keywords and a stem, so neither hides a match. Each match is an
 interval of words with a priority; one that lies inside another of at least its priority is suppressed.
 
 Cases: null text is empty; no detection gives empty label strings, null positions and a score of 0; repeated rows are
@@ -11,6 +12,8 @@ scanned each; an empty table gives no rows; extra columns are ignored. Work is l
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,16 +24,14 @@ BASE = {
     "apache-2": "apache license version 2",
     "cc-by-nc": "cc by nc",
 }
-#: Stems of which a document must hold one.
-GATE = ("licen", "spdx", "creative commons", "cc by", "cc0", "public domain", "copyleft", "rights reserved", "gpl", "copying")
-#: label: (keyword, name in words as a regular expression, SPDX identifier in words). Facts about licenses, in no order of weight.
+#: label: (preferred keyword, name in words as a regular expression, SPDX identifier in words). Facts about licenses, in no order of weight.
 LICENSES = {
     "mit": ("mit", r"mit(?: x11)?|x11 mit|expat", r"mit"),
     "apache-1.1": ("apache", r"apache(?: software)?(?: license)?(?: version| v)? ?1 1", r"apache 1 1"),
     "apache-2": ("apache", r"apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?|asl ?2(?: 0)?", r"apache 2 0"),
-    "bsd-2-clause": ("bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd)", r"bsd 2 clause"),
-    "bsd-3-clause": ("bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd|three clause bsd)", r"bsd 3 clause"),
-    "bsd-4-clause": ("bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd|four clause bsd)", r"bsd 4 clause"),
+    "bsd-2-clause": ("bsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd|two clause bsd", r"bsd 2 clause"),
+    "bsd-3-clause": ("bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd|three clause bsd", r"bsd 3 clause"),
+    "bsd-4-clause": ("bsd", r"bsd 4 clause|4 clause bsd|original bsd|four clause bsd", r"bsd 4 clause"),
     "bsd-0-clause": ("0bsd", r"0bsd|zero clause bsd", r"0bsd"),
     "gpl-1": ("1", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?|gplv1", r"gpl 1 0(?: only| or later)?"),
     "gpl-2": ("2", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?|gplv2", r"gpl 2 0(?: only| or later)?"),
@@ -81,8 +82,9 @@ LICENSES = {
 SETTINGS = (
     (3, "spdx", r"spdx licen[cs]e identifier (?:{spdx})"),
     (3, "licen", r"licen[cs]ed? (?:is )?(?:{spdx})(?: only| or later)"),
-    (2, "under", r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed) under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: international| unported)?(?: licen[cs]e)?"),
-    (2, "under", r"under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)"),
+    (2, "ed under", r"(?:licen[cs]ed|released|distributed|published|provided|redistributed) under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: international| unported)?(?: licen[cs]e)?"),
+    (2, "available under", r"available under (?:the )?(?:terms of )?(?:the )?(?:{name})(?: international| unported)?(?: licen[cs]e)?"),
+    (2, "licen", r"under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)"),
     (1, "licen", r"(?:{name})(?: [1-4] 0)?(?: international| unported)? licen[cs]ed?"),
     (1, "licen", r"licen[cs]es? (?:the )?(?:{name})"),
 )
@@ -99,11 +101,33 @@ NOTICES = (
 LEVEL_SCORE = {1: 0.5, 2: 0.9, 3: 1.0}
 
 
+#: Stems of which a document must hold one: each rule's first keyword or a part of it, and a part of each base phrase.
+GATE = ("licen", "spdx", "ed under", "available under", "cc by nc", *dict.fromkeys(kw for _, kw, _, _ in NOTICES))
+
+
+def _required(rx: str) -> list[str]:
+    """Strings that each match of an expression without alternatives outside its groups holds."""
+    before = None
+    while before != rx:
+        before, rx = rx, re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]|[^\0]\?(?!:)", "\0", rx)
+    return rx.split("\0")
+
+
+def _by_keyword(keyword: str, rx: str) -> list[tuple[str, str]]:
+    """(keyword, expression): the whole of rx if each alternative requires the keyword, else each alternative with its longest string."""
+    each = re.split(r"\|(?![^(]*\))", rx)
+    if all(any(keyword in x for x in _required(a)) for a in each):
+        return [(keyword, rx)]
+    return [(max(_required(a), key=len), a) for a in each]
+
+
 def rules() -> list[tuple[int, str, str, str, str]]:
     """(priority, first keyword, second keyword, regular expression over words, label), in order of priority: every license in every setting."""
     out = [(p, kw, kw, rx, label) for p, kw, rx, label in NOTICES]
     for label, (kw, name, spdx) in LICENSES.items():
-        out += [(p, what, kw, rx.format(name=name, spdx=spdx), label) for p, what, rx in SETTINGS]
+        for p, what, rx in SETTINGS:
+            field = "name" if "{name}" in rx else "spdx"
+            out += [(p, what, k, rx.replace("{" + field + "}", x), label) for k, x in _by_keyword(kw, name if field == "name" else spdx)]
     return sorted(out, key=lambda r: (-r[0], r[4], r[3]))
 
 

@@ -301,6 +301,55 @@ def test_license_scan(spark):
     assert got[5].labels == "gpl-3" and got[6].labels == "gpl-3" and len(license_scan.rules()) > 200
 
 
+def labels_without_gates(text):
+    """Labels when every rule runs, whatever its keywords."""
+    joined = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))
+    found = [(m.start(), m.end(), p, label) for p, _, _, rx, label in license_scan.rules() for m in re.finditer(rf"(?<![^ ])(?:{rx})(?![^ ])", joined)]
+    kept = [x for x in found if not any(y is not x and y[0] <= x[0] and y[1] >= x[1] and y[2] >= x[2] and (y[:3] != x[:3] or y[3] < x[3]) for y in found)]
+    words = f" {joined} "
+    return ",".join(sorted({x[3] for x in kept} | {label for label, p in license_scan.BASE.items() if f" {p} " in words}))
+
+
+def test_license_gates_hide_no_match(spark):
+    want = {
+        "Released under MIT": "mit",
+        "Distributed under Apache 2.0": "apache-2",
+        "Published under MPL 2.0": "mpl-2",
+        "available under the ASL 2.0": "apache-2",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+        "SPDX-License-Identifier: BSL-1.0": "boost-1",
+        "SPDX-License-Identifier: BUSL-1.1": "bsl-1.1",
+        "SPDX-License-Identifier: MS-PL": "ms-pl",
+        "SPDX-License-Identifier: MS-RL": "ms-rl",
+        "SPDX-License-Identifier: SSPL-1.0": "sspl-1",
+        "SPDX-License-Identifier: CPL-1.0": "cpl-1",
+        "SPDX-License-Identifier: ODbL-1.0": "odbl-1",
+        "the Expat license": "mit",
+        "zero clause BSD license": "bsd-0-clause",
+        "released under the PSF": "python-2",
+        "released under CC BY-SA": "cc-by-sa",
+        "published under Creative Commons Attribution": "cc-by",
+    }
+    # each name and identifier of each license in each setting, with and without the optional parts
+    for names in license_scan.LICENSES.values():
+        for setting in [rx for _, _, rx in license_scan.SETTINGS]:
+            for a in re.split(r"\|(?![^(]*\))", names[1] if "{name}" in setting else names[2]):
+                for least in (True, False):
+                    t = re.sub(r"\{\w+\}", lambda _: a, setting)
+                    while t != (u := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)(\?)?", lambda m: "" if m[2] and least else m[1], t)):
+                        t = u
+                    t = re.sub(r"(.)\?", "" if least else r"\1", re.sub(r"\[(.)[^\]]*\]", r"\1", t))
+                    if t.split(" ") == t.split():
+                        want.setdefault(t, None)
+    texts = list(want)
+    got = {r.doc_id: r.labels for r in license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] for i in range(len(texts)))
+    for i, t in enumerate(texts):
+        assert got[i] == labels_without_gates(t), t
+        assert want[t] is None or want[t] in got[i].split(","), t
+
+
 def test_classifier_and_language(spark):
     r = random.Random(4)
     words = {"en": ["the", "and", "of", "ther", "ingo"], "fr": ["le", "la", "ément", "queau", "des"]}
