@@ -9,8 +9,9 @@ A list whose entries are all links is saturated and may hide more, also outside
 their label in blocks of bounded size, each pair of blocks in a task of its own; only counts and a few links that join components
 come back, never pairs. Pairs of other nodes come from the lists.
 
-Recall is audited: a bounded sample of nodes is compared with all of their label; below ``least_recall`` the descent goes on with
-lists twice as long (``audit`` returns the figure; tests hold it against brute force).
+Recall is audited in each label: samples that grow with it, of all nodes and of those with links, are compared with all of their label; below
+``least_recall`` the descent goes on with lists twice as long, and a label that fails to the last is compared exactly, all of
+it. So are labels of at most ``EXACT`` vectors, without a descent.
 
 Cases: null labels, and vectors that are null, zero or hold null or non-finite components link with nothing; vectors of different lengths
 are not compared; equal vectors link with each other; rows with equal vec_id are counted each; an empty table
@@ -36,8 +37,12 @@ BLOCK = 512
 SEARCH_BYTES = 1 << 20
 ORDERS = 3
 CODE_BITS = 24
-#: Nodes whose recall is audited.
+#: Labels of at most so many distinct vectors are compared exactly, without a descent.
+EXACT = 16384
+#: Nodes of a label whose recall is audited, at least; 8 times the root of its size are added.
 AUDITED = 128
+#: Descents, each with lists twice as long, before a label whose recall stays low is compared exactly.
+ATTEMPTS = 4
 _LIST = "cid long, nbrs array<long>, sims array<double>"
 _STATE = "part int, cid long, label int, copies long, vec binary, nbrs array<long>, sims array<double>"
 
@@ -176,49 +181,37 @@ def descend(state: DataFrame, parts: int, k: int, turn: int) -> DataFrame:
     return keyed.groupBy("part", "salt").applyInArrow(meet, _LIST)
 
 
-def audit(state: DataFrame, threshold: float) -> float:
-    """Share of the sampled nodes' links that the lists hold. Saturated lists don't count: `exact_search` finds those nodes' links."""
-    sample = state.orderBy(F.xxhash64("cid")).limit(AUDITED).select("cid", "label", "vec", "nbrs", "sims").collect()
-    if not sample:
-        return 1.0
-    sent = state.sparkSession.sparkContext.broadcast([(r.cid, r.label, r.vec) for r in sample])
+def _ask(threshold: float) -> Column:
+    """Whether a list holds nothing but links, so that it may hide more, however long it is."""
+    return F.coalesce(F.array_min("sims") >= threshold, F.lit(True))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: dict[tuple, list] = {}
-        for c, label, v in sent.value:
-            queries.setdefault((label, len(v)), []).append((c, v))
-        for b in batches:
-            rows: dict[tuple, list] = {}
-            for c, label, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if (label, len(v)) in queries:
-                    rows.setdefault((label, len(v)), []).append((c, v))
-            for key, found in rows.items():
-                q = queries[key]
-                s = _unit([v for _, v in q]) @ _unit([v for _, v in found]).T >= threshold
-                near = [np.array([c for c, _ in found])[s[i]] for i in range(len(q))]
-                pairs = [(c, x) for (c, _), n in zip(q, near, strict=True) for x in n.tolist() if x != c]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["q", "x"])
-
-    lists = {r.cid: ({v for v, c in zip(r.nbrs or (), r.sims or (), strict=True) if c >= threshold}, bool(r.sims) and min(r.sims) >= threshold) for r in sample}
-    known = state.sparkSession.sparkContext.broadcast(lists)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = hit = 0
-        for b in search(batches):
-            for q, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own, full = known.value[q]
-                n, hit = n + (not full), hit + (not full and x in own)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([hit], pa.int64())], ["n", "hit"])
-
-    n, hit = state.select("cid", "label", "vec").mapInArrow(tally, "n long, hit long").agg(F.sum("n"), F.sum("hit")).first()
-    return hit / n if n else 1.0
-
-
-def exact_search(nodes: DataFrame, threshold: float) -> DataFrame:
+
+def audit(state: DataFrame, threshold: float) -> DataFrame:
+    """(label, bytes, recall): share of the sampled nodes' links that the lists hold, for each label and length of vectors.
+
+    Two samples that grow with the label, one of all nodes and one of those whose lists hold a link; the lesser share counts. Nodes
+    whose lists hold nothing but links are in neither: `exact_search` finds their links. Without a link there is no row."""
+    held = F.size(F.filter("sims", lambda x: x >= threshold)).alias("held")
+    group = ["label", "bytes"]
+    nodes = state.select("label", F.length("vec").alias("bytes"), "cid", "vec", held, _ask(threshold).alias("full"))
+    sizes = nodes.groupBy(*group).agg(F.count("*").alias("size"), F.count_if((F.col("held") > 0) & ~F.col("full")).alias("linked"))
+    nodes = nodes.join(sizes, group)
+    # a node's place in [0, 1) by a hash of its id
+    place = F.pmod(F.xxhash64("cid", F.lit(97)), F.lit(1 << 30)) / (1 << 30)
+    want = AUDITED + 8 * F.sqrt("size")
+    nodes = nodes.withColumns({"any": ~F.col("full") & (place * F.col("size") < want), "some": ~F.col("full") & (F.col("held") > 0) & (place * F.col("linked") < want)})
+    asking = nodes.select("label", "cid", F.lit(1).cast("long").alias("copies"), "vec", F.col("cid").alias("c"), (F.col("any") | F.col("some")).alias("ask"))
+    true = exact_search(asking, threshold, joins=False).groupBy("cid").agg(F.sum("n").alias("true"))
+    sampled = nodes.filter("any or some").join(true, "cid")
+    share = lambda s: F.sum(F.when(F.col(s), F.col("held"))) / F.sum(F.when(F.col(s), F.col("true")))
+    return sampled.groupBy(*group).agg(F.least(share("any"), share("some")).alias("recall"))
+
+
+def exact_search(nodes: DataFrame, threshold: float, joins: bool = True) -> DataFrame:
     """All linked pairs with an end that asks, by pairs of blocks of one label. nodes: (label, cid, copies, vec, c, ask).
 
     Rows (cid, n, a, b), never pairs: n linked vectors of cid in one pair of blocks, or a link (a, b) of components c; in a task
-    links of components that others join already are left out."""
+    links of components that others join already are left out. Without joins only counts."""
 
     def compare(table: pa.Table) -> pa.Table:
         x, ids, copies, c = _unit(table["vec"].to_pylist()), table["cid"].to_numpy(), table["copies"].to_numpy(), table["c"].to_numpy()
@@ -235,7 +228,8 @@ def exact_search(nodes: DataFrame, threshold: float) -> DataFrame:
             p, q = np.nonzero(near)
             p, q = rows[p], right[q]
             n += np.bincount(p, copies[q], len(ids)).astype(np.int64) + np.bincount(q, copies[p], len(ids)).astype(np.int64)
-            _join(root, c[p], c[q])
+            if joins:
+                _join(root, c[p], c[q])
         some, joined = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(root)))
         none = lambda k: pa.nulls(k, pa.int64())
         columns = [(pa.array(ids[some]), none(len(joined))), (pa.array(n[some]), none(len(joined))), (none(len(some)), pa.array(named[joined])), (none(len(some)), pa.array(named[root[joined]]))]
@@ -273,12 +267,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 12, ro
     classes = fit.groupBy("label", "e").agg(F.min("vec_id").alias("cid"), F.count("*").alias("copies"))
     pack = lambda batches: (pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([np.array(x, np.float32).tobytes() for x in b.column(3).to_pylist()], pa.binary())], ["cid", "label", "copies", "vec"]) for b in batches)
     classes = scratch.save(classes.select("cid", "label", "copies", "e").mapInArrow(pack, "cid long, label int, copies long, vec binary"))
-    n = classes.count()
+    group = ["label", "bytes"]
+    classes = classes.withColumn("bytes", F.length("vec"))
+    large = scratch.save(classes.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") > EXACT))
+    n = large.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(25, -(-n // 2048) | 1)
     empty = F.array()
-    state = classes.select(part_column(F.col("cid"), parts).alias("part"), "cid", "label", "copies", "vec", empty.cast("array<long>").alias("nbrs"), empty.cast("array<double>").alias("sims"))
-    state = scratch.save(merged(state, first_lists(classes, k, n), parts, k))
-    for attempt in range(4):
+    state = classes.join(large, group, "left_semi").select(part_column(F.col("cid"), parts).alias("part"), "cid", "label", "copies", "vec", empty.cast("array<long>").alias("nbrs"), empty.cast("array<double>").alias("sims"))
+    if n:
+        state = scratch.save(merged(state, first_lists(state, k, n), parts, k))
+    failed = large.limit(0).select(*group)
+    for attempt in range(ATTEMPTS if n else 0):
         before = None
         for turn in range(rounds):
             now = scratch.save(merged(state, descend(state, parts, k, rounds * attempt + turn), parts, k))
@@ -288,15 +287,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 12, ro
             if before is not None and weight - before <= 0.001 * max(abs(before), 1.0):
                 break
             before = weight
-        if audit(state, threshold) >= least_recall:
+        failed = scratch.save(audit(state, threshold).filter(F.col("recall") < least_recall).select(*group))
+        if not failed.limit(1).count():
             break
         k *= 2
     near = state.select("cid", F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).filter(F.col("x.sims") >= threshold).select("cid", F.col("x.nbrs").alias("v"))
     links = scratch.save(near.select(F.least("cid", "v").alias("a"), F.greatest("cid", "v").alias("b")).distinct())
     known = components(links, scratch)
-    # a list that holds nothing but links may hide more, however long it is
-    ask = F.coalesce(F.array_min("sims") >= threshold, F.lit(True))
-    nodes = scratch.save(state.select("label", "cid", "copies", "vec", ask.alias("ask")).join(known, F.col("cid") == F.col("node"), "left").select("label", "cid", "copies", "vec", "ask", F.coalesce("component", "cid").alias("c")))
+    # asked: all of small labels and of those that failed the audit, and saturated nodes
+    lists = state.select("cid", _ask(threshold).alias("full"))
+    whole = failed.withColumn("whole", F.lit(True))
+    nodes = classes.join(lists, "cid", "left").join(whole, group, "left").withColumn("ask", F.coalesce("whole", F.lit(False)) | F.coalesce("full", F.lit(True)))
+    nodes = scratch.save(nodes.join(known, F.col("cid") == F.col("node"), "left").select("label", "cid", "copies", "vec", "ask", F.coalesce("component", "cid").alias("c")))
     found = scratch.save(exact_search(nodes, threshold))
     label = components(links.unionByName(found.filter("a is not null").select("a", "b")), scratch)
     asked = nodes.filter("ask").select(F.col("cid").alias("asked"))

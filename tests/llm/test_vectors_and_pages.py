@@ -89,6 +89,36 @@ def test_full_lists_hide_another_group(spark, size, monkeypatch):
     assert found_vectors(spark, rows) == (links, component)
 
 
+def rare_links():
+    """2,000 vectors of one label, of which one in a hundred has a link, and a small label."""
+    r = np.random.default_rng(9)
+    rows = [(v.astype(np.float32).tolist(), 0) for v in r.standard_normal((2000, 32))]
+    rows += [((np.array(rows[100 * i][0]) + 0.05 * r.standard_normal(32)).astype(np.float32).tolist(), 0) for i in range(20)]
+    return rows + [(rows[0][0], 1), (rows[2000][0], 1)]
+
+
+def test_failed_audit_compares_exactly(spark, monkeypatch):
+    """A descent that finds nothing is noticed, though one vector in a hundred has a link, and made good."""
+    rows = rare_links()
+    want = vectors_by_force(rows)
+    assert sum(want[0]) == 42
+    monkeypatch.setattr(embedding_dedup, "EXACT", 10, raising=False)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1, raising=False)
+    monkeypatch.setattr(embedding_dedup, "first_lists", lambda classes, k, n: classes.limit(0).selectExpr("cid + 0 as cid", "cast(array() as array<long>) nbrs", "cast(array() as array<double>) sims"))
+    # each node's list holds one node that is no link
+    far = lambda state, *_: state.selectExpr("cid + 0 as cid", "array(cast(1 as long)) nbrs", "array(cast(0.0 as double)) sims")
+    monkeypatch.setattr(embedding_dedup, "descend", far)
+    assert found_vectors(spark, rows) == want
+
+
+def test_audit_by_label(spark):
+    v = lambda *x: np.array(x, np.float32).tobytes()
+    far = ([5], [0.0])
+    rows = [(1, 0, v(1, 0), [2, 5], [1.0, 0.0]), (2, 0, v(1, 0.01), [1, 5], [1.0, 0.0]), (3, 1, v(1, 0), *far), (4, 1, v(1, 0.01), *far), (5, 1, v(0, 1), *far), (6, 2, v(0, 1), *far)]
+    state = spark.createDataFrame(rows, "cid long, label int, vec binary, nbrs array<long>, sims array<double>")
+    assert {x.label: x.recall for x in embedding_dedup.audit(state, 0.93).collect()} == {0: 1.0, 1: 0.0}
+
+
 def test_vectors_of_an_empty_table(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
