@@ -22,7 +22,8 @@ that can't link; of the rest both sets are computed again from the texts and com
 task post once, and only the smallest id of all copies is compared.
 
 Cases: null or empty texts have no shingles and link with nothing; fewer than k words are one shingle; rows with equal doc_id are
-one node; an empty table gives no rows; extra columns are ignored. Postings travel in blobs (one row carries many), at
+one node of the components, each text of them with its own links; a row with a null doc_id is a node by its text, and a component of
+such rows only has a null id; only components come out, not links: in large groups not every link is computed; an empty table gives no rows; extra columns are ignored. Postings travel in blobs (one row carries many), at
 most HOT of a hash from one flush.
 """
 
@@ -299,7 +300,7 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
         release()
         return pa.concat_tables([_table(out), *sketches])
 
-    posted = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text").mapInArrow(post, "bucket int, kind int, x binary, y binary, z binary")
+    posted = docs.select("doc_id", "text").mapInArrow(post, "bucket int, kind int, x binary, y binary, z binary")
     return posted.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, info int, sketch binary")
 
 
@@ -447,9 +448,41 @@ def verified(pairs: DataFrame, texts: DataFrame, parts: int, k: int, percent: in
     return carried.groupBy("part").cogroup(whole.groupBy("part")).applyInArrow(compare, "a long, b long")
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """docs with __node, equal for rows of equal id and text only, and the (node, id) of those whose node is not their id, if any.
+
+    The node is the id; where that is null or has several texts, a hash of 64 bits of id and text."""
+    i, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").isNull(), "text")
+    several = scratch.save(docs.filter(i.isNotNull()).groupBy(i.alias("__id")).agg(F.min(text).alias("x"), F.max(text).alias("y")).filter("x <> y").select("__id"))
+    hashed = i.isNull()
+    if several.limit(1).count():
+        docs, hashed = docs.join(several, i == F.col("__id"), "left"), hashed | F.col("__id").isNotNull()
+    out = docs.withColumn("__node", F.when(hashed, F.xxhash64(i.isNull(), i, F.col("text").isNull(), "text")).otherwise(i))
+    names = scratch.save(out.filter(hashed).select(F.col("__node").alias("node"), i.alias("id")).distinct())
+    return out.drop("__id"), names if names.limit(1).count() else None
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     scratch = Scratch(docs.sparkSession)
+    rows, names = numbered(docs, scratch)
+    if names is None:
+        return _components(rows, scratch, None, k, percent).select(F.col("node").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+    known = names.filter("id is not null")
+    ties = known.join(known.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).filter("a <> b")
+    out = scratch.save(_with_ids(_components(rows, scratch, ties, k, percent), names))
+    least = out.groupBy("component").agg(F.min("id").alias("component_id"))
+    return out.join(least, "component").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def _with_ids(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    found = names.select("node", "id", F.lit(True).alias("hashed"))
+    return nodes.join(found, "node", "left").withColumn("id", F.when(F.col("hashed"), F.col("id")).otherwise(F.col("node"))).drop("hashed")
+
+
+def _components(docs: DataFrame, scratch: Scratch, ties: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """node, n_shingles and component of every row of docs (__node, text); ties: further links (a, b)."""
+    docs = docs.select(F.col("__node").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = scratch.save(candidates(docs, k, percent, max(24, math.ceil(size / BUCKET_BYTES))))
     of = lambda kind: found.filter(F.col("kind") == kind)
@@ -468,9 +501,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     star = hot.join(hot.groupBy("gid").agg(F.min("doc").alias("a")), "gid").filter("a < doc").select("a", F.col("doc").alias("b"))
     pairs = scratch.save(plausible(single(single(of(PAIR).select("a", "b"), "a"), "b").union(star).distinct(), sketches, parts, percent))
     named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("doc")).distinct()
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
-    texts = scratch.save(plain.join(named, "doc_id", "left_semi"))
-    links = scratch.save(copies.union(verified(pairs, texts, parts, k, percent)))
+    texts = scratch.save(docs.join(named, "doc_id", "left_semi"))
+    links = copies.union(verified(pairs, texts, parts, k, percent))
+    links = scratch.save(links if ties is None else links.union(ties))
     label = components(links, scratch)
     # a group within one component is settled: its postings no longer count against a document's slack
     member = hot.join(label, hot["doc"] == label["node"], "left").select("gid", "doc", "band", "slack", F.coalesce("component", "doc").alias("c"))
@@ -482,11 +515,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
         found_links = scratch.save(family_links(own, rare, scratch, percent))
         if found_links.limit(1).count():
             label = components(links.union(found_links), scratch)
-    sizes = of(DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    return sizes.join(label, sizes["doc_id"] == label["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    sizes = of(DOCUMENT).select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
+    return sizes.join(label, sizes["doc"] == label["node"], "left").select(F.col("doc").alias("node"), "n_shingles", F.coalesce("component", "doc").alias("component"))
 
 
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    c = jaccard_components(docs, k, percent).filter("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(c, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near duplicates one document, with all its columns: that of the smallest id, one without an id only if no other has one.
+
+    Rows of equal id stand each for its own text; of rows of equal id and text one stays."""
+    scratch = Scratch(docs.sparkSession)
+    rows, names = numbered(docs, scratch)
+    nodes = _components(rows, scratch, None, k, percent).groupBy("node", "component").agg(F.count("*").alias("rows"))
+    if names is None:
+        first = nodes.filter("node = component")
+    else:
+        nodes = scratch.save(_with_ids(nodes, names))
+        least = nodes.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("node"))).alias("x")).select(F.col("x.node").alias("node"))
+        first = nodes.join(least, "node", "left_semi")
+    # rows without words are in no group, so each of them stays unless id and text are equal
+    first = scratch.save(first.select(F.col("node").alias("__node"), "rows"))
+    of = lambda condition: rows.join(first.filter(condition), "__node", "left_semi")
+    out = of("rows = 1")
+    if first.filter("rows > 1").limit(1).count():
+        out = out.unionByName(of("rows > 1").dropDuplicates(["__node"]))
+    return out.select(*docs.columns)

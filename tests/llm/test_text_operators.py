@@ -169,6 +169,21 @@ def test_repeated_rows(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(d).collect()) == [(5, 5)] * 3 + [(7, 5)]
 
 
+def test_null_and_repeated_ids(spark):
+    r = random.Random(11)
+    say = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(80))
+    a, b, c, d, e, f = (say() for _ in range(6))
+    rows = [(None, a), (3, a + " x"), (None, b), (None, b), (None, b + " y"), (None, c), (4, d), (5, e), (5, d + " z"), (6, e + " u"), (7, f), (7, f), (None, None)]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int")
+    kept = {x.row for x in jaccard_join.first_of_each(docs).collect()}
+    # a and its copy: the one with an id; b: one of three; c: alone; d: 4 and not 5's second text; e: 5 and not 6; f: one of two equal rows
+    assert {1, 5, 6, 7, 12} <= kept and not kept & {0, 8, 9}
+    assert len(kept & {2, 3, 4}) == 1 and len(kept & {10, 11}) == 1 and len(kept) == 7
+    got = Counter((x.doc_id, x.component_id) for x in jaccard_join.jaccard_components(docs).collect())
+    # 5 is one node of the components, so d and e are one
+    assert got == Counter([(3, 3), (None, 3), *[(None, None)] * 5, (4, 4), (5, 4), (5, 4), (6, 4), (7, 7), (7, 7)])
+
+
 def rules_by_force(text):
     t, lines = text or "", [x for x in (text or "").split("\n") if WORD.search(x)]
     w = WORD.findall(t)
