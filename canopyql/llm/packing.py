@@ -6,8 +6,9 @@ documents, and equal lengths stand in one bucket (``bucket`` = log2 of the lengt
 one shape. No row moves between partitions.
 
 Texts are cut before each run of blanks into spans that the tokenizer treats independently of each other; a distinct span
-is encoded once and gathered for all its places. A document with other Unicode white space is encoded whole. Special
-tokens' strings in a text are ordinary text.
+is encoded once and gathered for all its places. A document with other Unicode white space is encoded whole, and so is every
+document where the tokenizer doesn't cut at blanks itself (`_cuts_at_blanks`). The tokenizer is used as its file says: a special token's
+string in a text gives that token's id.
 
 Cases: a null or empty text gives one piece, the end id; repeated rows give their pieces each, in sequences of their own;
 an empty table gives no rows; extra columns are ignored. Memory: one Arrow batch and the ids of about 2 MB of text.
@@ -16,6 +17,7 @@ an empty table gives no rows; extra columns are ignored. Memory: one Arrow batch
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -40,14 +42,23 @@ def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     encode = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    return encode, TokenCache(lambda spans: encode([s.decode("utf-8", "replace") for s in spans]))
+    return encode, TokenCache(lambda spans: encode([s.decode("utf-8", "replace") for s in spans])), _cuts_at_blanks(json.loads(t.to_str()))
+
+
+def _cuts_at_blanks(spec: dict) -> bool:
+    """Whether ids of a span don't depend on its neighbours: byte-level words, no normaliser, no added token that looks at or holds blanks."""
+    words = spec.get("pre_tokenizer") or {}
+    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space") and not spec.get("normalizer")
+    return plain and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or re.search(r"\s", a["content"]) for a in spec["added_tokens"])
 
 
 def document_ids(path: str, offsets: np.ndarray, data: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the rows i to j, end to end, and the offsets of each document."""
-    encode, cache = _tokenizer(path)
+    encode, cache, cuts = _tokenizer(path)
+    if not cuts:
+        rows = encode([data[a:b].tobytes().decode() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)])
+        return np.array([x for r in rows for x in r], np.uint32), np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
     w = Words(offsets, data, i, j)
     docs = w.docs
     first = w.words[:-1][np.diff(w.words) > 0]

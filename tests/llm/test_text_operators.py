@@ -223,8 +223,10 @@ def test_packing(docs, texts, spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(str(path))
-    t.encode_special_tokens = True
-    odd = ["a  b \n\nc", "it's we'll", "<|endoftext|> hi", "🙂 a　b", "   \n", "日本語"]
+    end = "<|endoftext|>"
+    odd = ["a  b \n\nc", "it's we'll", f"{end} hi", f"hi {end}", f"{end}{end}", f"{end} {end}\n{end}", f"a{end}b c  {end}  d", f"x\u3000{end} y", "<|endoftext", "🙂 a\u3000b", "   \n", "日本語"]
+    r = random.Random(5)
+    odd += ["".join(r.choice([" ", "  ", "\n", "\t", "\u00a0", "ab", "'s", "é", "9", ".", end]) for _ in range(r.randint(1, 30))) for _ in range(300)]
     rows = [(i, x) for i, x in enumerate([*texts, *odd])]
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), str(path), most=64, with_ids=True).collect()
     assert len({r.sequence_id for r in out}) == len(out)
@@ -235,10 +237,24 @@ def test_packing(docs, texts, spark):
         assert all(r.length & (r.length - 1) == 0 and r.length <= 64 and r.offset == 0 and r.doc_tokens == len(ids) for r in pieces)
         assert all(r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in pieces)
     assert packing.piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
+    assert t.encode(f"{end} hi", add_special_tokens=False).ids == [50256, 23105]
     with pytest.raises(ValueError):
         packing.pack(docs, str(path), most=100)
 
 
+def test_packing_with_a_tokenizer_that_joins_spans(spark):
+    """A tokenizer that doesn't cut at blanks itself sees whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(path)
+    rows = list(enumerate(["Hello  World", None, "", "a<|endoftext|> b\n c"]))
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), path, with_ids=True).collect()
+    for i, x in rows:
+        assert [y for r in sorted((r for r in out if r.doc_id == i), key=lambda r: r.start) for y in r.ids] == [*t.encode(x or "", add_special_tokens=False).ids, 1]
+
+
 def test_sentencepiece(texts, spark):
     import public_tokenizers
     import sentencepiece
