@@ -4,8 +4,9 @@ A word (a run of letters, lower-cased) that the training rows know is scored by
 unseen word falls back to character n-grams: of the longest order, from 5 down to 1, of which it holds a known one, with marks at its
 ends. A document's language has the largest sum; the score is its share under a softmax of the mean of at most 20 words' weight.
 
-Training counts words of at most about ``most`` rows (those whose hash falls under a threshold) that are not held out and have a language; the model
-keeps the most frequent ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams of each order, which bounds the broadcast.
+Training counts words of at most ``MOST_ROWS`` rows of each language (those of the smallest hashes) that are not held out, so that a rare language
+is learned at any size of the corpus; the model keeps the most frequent ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams of each order, fewer where
+``MOST_CELLS`` over the number of languages is less, which bounds what the driver gets and sends. Whole texts are counted and scored; one beyond 2 MB in parts.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if there is no training row; ties go to the
 language that sorts first; repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
@@ -13,21 +14,27 @@ language that sorts first; repeated rows are judged each; an empty table gives n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import Scratch
 from .words import CHUNK_BYTES, span_hashes
 
 ORDERS = (5, 4, 3, 2, 1)
-MOST_ROWS, MOST_WORDS, MOST_GRAMS = 6_000, 200_000, 100_000
+#: Training rows of a language, and words and n-grams of an order that the model keeps, at most.
+MOST_ROWS, MOST_WORDS, MOST_GRAMS = 2_000, 200_000, 100_000
+#: Frequencies of an order that the model keeps, at most, over all languages.
+MOST_CELLS = 4_000_000
 #: Words that a document's total is spread over at most, for the softmax.
 WEIGHT = 20
 _letters: dict[str, np.ndarray] = {}
+_SPACE = re.compile(r"\s+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,60 +104,61 @@ class Model:
         return out
 
 
-def _logs(hashes: np.ndarray, lang: np.ndarray, n: np.ndarray, n_langs: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the most frequent hashes: sorted, and their log frequency by language, with add-half smoothing."""
-    distinct, inverse = np.unique(hashes, return_inverse=True)
-    table = np.zeros((len(distinct), n_langs))
-    np.add.at(table, (inverse, lang), n)
-    total = table.sum(0)
-    keep = np.sort(np.lexsort((distinct, -table.sum(1)))[:most])
-    return distinct[keep], np.log((table[keep] + 0.5) / (total + 0.5 * len(distinct))).astype(np.float32)
+def _logs(rows: pa.Table, totals: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and their log frequency by language, with add-half smoothing over all hashes of the order."""
+    hashes = rows["hash"].to_numpy().view(np.uint64)
+    table = np.zeros((len(hashes), len(totals)))
+    cells = rows["cells"].combine_chunks()
+    flat = cells.flatten()
+    table[np.repeat(np.arange(len(hashes)), np.asarray(cells.value_lengths())), flat.field("lang").to_numpy()] = flat.field("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], np.log((table[order] + 0.5) / (totals + 0.5 * distinct)).astype(np.float32)
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Texts in groups of about CHUNK_BYTES code points with the row of each; a longer text is cut at white space, which no word spans."""
+    rows, texts, size = [], [], 0
+    for i, t in enumerate(column):
+        t = t.as_py() or ""
+        at = 0
+        while at < len(t) or not at:
+            end = len(t)
+            if end - at > CHUNK_BYTES:
+                cut = _SPACE.search(t, at + CHUNK_BYTES)
+                end = cut.end() if cut else end
+            if texts and size + end - at > CHUNK_BYTES:
+                yield np.array(rows), texts
+                rows, texts, size = [], [], 0
+            rows.append(i)
+            texts.append(t[at:end])
+            size, at = size + end - at, max(end, 1)
+    if texts:
+        yield np.array(rows), texts
+
+
+def sample(docs: DataFrame, most_rows: int) -> DataFrame:
+    """(text, lang): of each language the usable rows of the smallest hashes, at most `most_rows`.
+
+    A threshold by the language's size leaves about twice as many as are wanted, so only a bounded number of rows is ranked."""
+    usable = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    usable = usable.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))
+    near = usable.join(sizes, "lang").filter(F.col("place") / float(1 << 62) < F.lit(2.0 * most_rows + 32) / F.col("size"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
+    return ranked.filter(F.col("rank") <= most_rows).select("text", "lang")
 
 
-def build(words: list[str], langs: list[str], counts: np.ndarray, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model | None:
-    """A model of counted (word, language) rows. Words seen once are left to their n-grams."""
-    if not words:
-        return None
-    names = sorted(set(langs))
-    lang = np.searchsorted(np.array(names), np.array(langs))
-    points, start, end, _ = words_of(words)
-    hashes = span_hashes(points, start, end)
-    distinct, inverse = np.unique(hashes, return_inverse=True)
-    often = np.bincount(inverse, counts)[inverse] >= 2
-    often = often if often.any() else ~often
-    w, w_logs = _logs(hashes[often], lang[often], counts[often], len(names), most_words)
-    g, g_logs = {}, {}
-    for n in ORDERS:
-        h, word = grams(points, start, end, n)
-        g[n], g_logs[n] = _logs(h, lang[word], counts[word], len(names), most_grams)
-    return Model(names, w, w_logs, g, g_logs)
-
-
-def _parts(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    texts, i = column.to_pylist(), 0
-    while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size < CHUNK_BYTES):
-            size += len(texts[j] or "")
-            j += 1
-        yield i, texts[i:j]
-        i = j
-
-
-def fit(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
-    usable = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.select("doc_id").count()
-    share = min(1.0, most_rows / max(n, 1))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000))
+def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model | None:
+    """Counts in Spark; the driver gets the kept words and n-grams only. Words seen once are left to their n-grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lang = batch.column(1).to_pylist()
-            for i, texts in _parts(batch.column(0)):
+            for rows, texts in _pieces(batch.column(0)):
                 points, start, end, at = words_of(texts)
                 h = span_hashes(points, start, end)
-                names = sorted(set(lang[i : i + len(texts)]))
-                own = np.repeat(np.array([names.index(x) for x in lang[i : i + len(texts)]], np.int64), np.diff(at))
+                names = sorted({lang[i] for i in rows})
+                own = np.repeat(np.array([names.index(lang[i]) for i in rows], np.int64), np.diff(at))
                 order = np.lexsort((h, own))
                 new = np.ones(len(h), bool)
                 new[1:] = (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])
@@ -159,9 +167,39 @@ def fit(docs: DataFrame, most_rows: int = MOST_ROWS) -> Model | None:
                 words = [raw[4 * a : 4 * b].decode("utf-32-le", "replace") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([names[k] for k in own[first]], pa.string()), pa.array(sizes, pa.int64())], ["word", "lang", "n"])
 
-    rows = chosen.select("text", "lang").mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")).toArrow()
-    order = rows.sort_by([("word", "ascending"), ("lang", "ascending")])
-    return build(order["word"].to_pylist(), order["lang"].to_pylist(), order["n"].to_numpy())
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 20_000):
+                part = batch.slice(i, 20_000)
+                points, start, end, _ = words_of(part.column(0).to_pylist())
+                every = [(0, span_hashes(points, start, end), np.arange(len(start)))] + [(n, *grams(points, start, end, n)) for n in ORDERS]
+                for n, h, word in every:
+                    lang, size = part.column(1).take(pa.array(word)), part.column(2).take(pa.array(word))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int32)), pa.array(h.view(np.int64)), lang, size], ["gram", "hash", "lang", "n"])
+
+    scratch = Scratch(docs.sparkSession)
+    counted = sample(docs, most_rows).mapInArrow(count, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counted = scratch.save(counted)
+    langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    if not langs:
+        return None
+    index = F.array_position(F.lit(langs), F.col("lang")).cast("int") - 1
+    each = counted.mapInArrow(hashed, "gram int, hash long, lang string, n long").groupBy("gram", "hash", index.alias("lang")).agg(F.sum("n").alias("n"))
+    each = each.groupBy("gram", "hash").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("cells"))
+    each = scratch.save(each)
+    often = F.when((F.col("gram") > 0) | (F.col("total") > 1), 1)
+    sums = {(r.gram, r.lang): r for r in each.select("gram", often.alias("often"), F.explode("cells").alias("c")).groupBy("gram", F.col("c.lang").alias("lang")).agg(F.sum(F.col("c.n")).alias("all"), F.sum(F.col("c.n") * F.col("often")).alias("many")).collect()}
+    sizes = {r.gram: r for r in each.groupBy("gram").agg(F.count("*").alias("all"), F.count(often).alias("many")).collect()}
+    cells = max(1, MOST_CELLS // len(langs))
+    found = {}
+    for n in (0, *ORDERS):
+        # words seen once count only where no word was seen twice
+        field = "many" if n in sizes and sizes[n].many else "all"
+        kept = each.filter(F.col("gram") == n) if field == "all" else each.filter((F.col("gram") == n) & often.isNotNull())
+        rows = kept.orderBy(F.desc("total"), "hash").limit(min(cells, most_words if n == 0 else most_grams)).select("hash", "cells").toArrow()
+        totals = np.array([getattr(sums[n, k], field) or 0 if (n, k) in sums else 0 for k in range(len(langs))], float)
+        found[n] = _logs(rows, totals, getattr(sizes[n], field) if n in sizes else 0)
+    return Model(langs, *found[0], {n: found[n][0] for n in ORDERS}, {n: found[n][1] for n in ORDERS})
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -171,22 +209,23 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for i, texts in _parts(batch.column(1)):
+            n = batch.num_rows
+            lang, score = np.full(n, "und", object), np.zeros(n)
+            total, counts = np.zeros((n, len(m.langs) if m else 1)), np.zeros(n, np.int64)
+            for rows, texts in _pieces(batch.column(1)) if m else ():
                 points, start, end, at = words_of(texts)
-                lang, score = ["und"] * len(texts), np.zeros(len(texts))
-                if m is not None and len(start):
+                if len(start):
                     distinct, first, inverse = np.unique(span_hashes(points, start, end), return_index=True, return_inverse=True)
                     s = m.word_scores(points, start[first], end[first], distinct)
-                    counts = np.diff(at)
-                    has = np.flatnonzero(counts)
-                    total = np.add.reduceat(s[inverse], at[has], axis=0) if len(has) else np.zeros((0, len(m.langs)))
-                    total *= (np.minimum(counts[has], WEIGHT) / counts[has])[:, None]
-                    best = total.argmax(1)
-                    share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                    score[has] = share
-                    for k, b in zip(has.tolist(), best.tolist(), strict=True):
-                        lang[k] = m.langs[b]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                    has = np.flatnonzero(np.diff(at))
+                    np.add.at(total, rows[has], np.add.reduceat(s[inverse], at[has], axis=0))
+                    np.add.at(counts, rows, np.diff(at))
+            has = np.flatnonzero(counts)
+            if len(has):
+                mean = total[has] * (np.minimum(counts[has], WEIGHT) / counts[has])[:, None]
+                score[has] = 1 / np.exp(mean - mean.max(1, keepdims=True)).sum(1)
+                lang[has] = np.array(m.langs, object)[mean.argmax(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
