@@ -3,50 +3,56 @@
 A tokenizer cuts the source into tags, text, comments and raw text; a tree builder supplies implied tags (p, li, dt, dd, tr, td, th,
 option, html/head/body parts) and closes what a block or an end tag closes; a renderer walks the tree and emits every visible text:
 blocks on lines of their own with the spacing of their kind, list items with bullets or numbers indented by depth, table rows with cells
-padded to the columns' widths, preformatted text unchanged. Not visible are head, scripts, styles, templates and the like, comments,
-``hidden`` attributes, and ``display:none`` or ``visibility:hidden`` in a style attribute.
-
-Cases: null or empty pages give the empty text; unclosed, crossed and unknown tags never raise; a document
-without markup is its own text; repeated rows are rendered each; an empty table gives no rows; extra columns are ignored. Building and rendering use
-explicit stacks, so depth is bounded by memory only, and time is linear in the source but for tables within tables, whose text is padded once a level.
+padded to the columns' widths (colspan and rowspan take their places), preformatted text unchanged. Not visible are head, scripts, styles, templates
+and the like, comments, ``hidden`` attributes, ``display:none``, and ``visibility:hidden`` until a descendant is ``visible``. The first text or
+tag that can't stand in a head ends it. Options, formulas and the text of drawings are visible; their descriptions and annotations aren't.
+
+Cases: null or empty pages give the empty text; unclosed, crossed and unknown tags never raise; a tag that the source's end cuts off
+isn't visible; a quote without its partner belongs to the next attribute's name; a document without markup is its own text; repeated rows are rendered each; an empty table gives
+no rows; extra columns are ignored. Very long pages: building and rendering use explicit stacks, so depth is bounded by memory only, and time is linear in the source;
+lists are indented up to ``DEEPEST`` levels, and tables within as many others are laid out as blocks (their text is all there).
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+DEEPEST = 24
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object svg math audio video canvas datalist select title xmp".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas title desc metadata defs annotation annotation-xml".split())
+#: What may stand in a head; any other tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 #: Blank lines before and after; 0: only a line of its own.
 BLOCKS = {
     **dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset".split(), 1),
     **dict.fromkeys(
-        "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav section summary tr thead tbody tfoot option optgroup".split(), 0
+        "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main menu nav section summary tr thead tbody tfoot option optgroup xmp".split(), 0
     ),
 }
 #: An opening tag closes these open elements, looking no further up than the bound.
 CLOSES = {
-    **{t: (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])) for t in ("li",)},
-    **{t: (frozenset(["dt", "dd"]), frozenset(["dl"])) for t in ("dt", "dd")},
-    **{t: (frozenset(["td", "th"]), frozenset(["table", "tr"])) for t in ("td", "th")},
-    **{t: (frozenset(["tr", "td", "th"]), frozenset(["table"])) for t in ("tr",)},
-    **{t: (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])) for t in ("thead", "tbody", "tfoot")},
-    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
-    "body": (frozenset(["head"]), frozenset(["html"])),
+    **{t: (("li",), ("ul", "ol", "menu", "dir")) for t in ("li",)},
+    **{t: (("dt", "dd"), ("dl",)) for t in ("dt", "dd")},
+    **{t: (("td", "th"), ("table", "tr")) for t in ("td", "th")},
+    **{t: (("tr", "td", "th"), ("table",)) for t in ("tr",)},
+    **{t: (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)) for t in ("thead", "tbody", "tfoot")},
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select", "datalist")),
 }
-_P_SCOPE = frozenset("td th caption li dd dt button table html body".split())
-#: What a stray end tag may not close beyond.
-_END_SCOPE = frozenset(["table"])
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_P_SCOPE = tuple("td th caption li dd dt button table html body".split())
+_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)|<", re.S)
+#: One attribute, or the end of the tag. Each sign is read once; a quote that never closes fails at most once for each kind.
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?)")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -57,86 +63,116 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def parse(source: str) -> Node:
-    """The tree of a page."""
-    root = Node("#root", {})
-    stack, at, n = [root], 0, len(source)
-    open_tags: Counter = Counter()
-
-    def cut_at(k: int) -> None:
-        open_tags.subtract(x.tag for x in stack[k:])
-        del stack[k:]
-
-    def push(node: Node) -> None:
-        stack[-1].children.append(node)
-        stack.append(node)
-        open_tags[node.tag] += 1
-
-    def close(tags: frozenset, bound: frozenset) -> None:
-        """Closes up to the outermost open element of tags that stands within the bound; looks only where one is open."""
-        if not any(open_tags[t] for t in tags):
+class _Tree:
+    """The open elements, and for each tag the places where it stands among them, so that no search walks the stack."""
+
+    def __init__(self):
+        self.root = Node("#root", {})
+        self.stack: list[Node] = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.stack[-1].children.append(node)
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        for x in self.stack[k:]:
+            self.places[x.tag].pop()
+        del self.stack[k:]
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of some tags, 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
+    def close(self, tags: tuple[str, ...], bound: tuple[str, ...]) -> None:
+        """Closes up to the outermost open element of tags within the bound."""
+        if any(self.places[t] for t in tags):
+            top = self.last(bound)
+            inside = [p[i] for t in tags if (i := bisect_right(p := self.places[t], top)) < len(p)]
+            if inside:
+                self.cut(min(inside))
+
+    def text(self, s: str) -> None:
+        if not s:
             return
-        cut = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in bound:
-                break
-            if stack[k].tag in tags:
-                cut = k
-                if stack[k].tag == "p":
-                    break
-        if cut:
-            cut_at(cut)
+        if self.stack[-1].tag == "head" and not s.isspace():
+            self.cut(len(self.stack) - 1)
+        self.stack[-1].children.append(s)
+
+    def end(self, tag: str) -> None:
+        place = self.last((tag,))
+        if not place:
+            if tag == "p":
+                self.stack[-1].children.append(Node("p", {}))
+        elif tag == "table" or self.last(("table",)) < place:  # a stray end tag closes nothing beyond a table
+            self.cut(place)
+
+    def start(self, tag: str) -> None:
+        """Closes what an opening tag closes, and opens what it implies."""
+        if self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self.cut(len(self.stack) - 1)
+        if tag in CLOSES:
+            self.close(*CLOSES[tag])
+        if tag in BLOCKS and tag not in ("option", "optgroup") and (p := self.last(("p",))) > self.last(_P_SCOPE):
+            self.cut(p)
+        if tag in ("td", "th") and self.stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            self.push(Node("tr", {}))
+
 
+def parse(source: str) -> Node:
+    """The tree of a page."""
+    tree, at, n = _Tree(), 0, len(source)
     while at < n:
-        m = _TOKEN.search(source, at)
+        m = _MARK.search(source, at)
         if not m:
-            stack[-1].children.append(html.unescape(source[at:]))
+            tree.text(html.unescape(source[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(source[at : m.start()]))
+            tree.text(html.unescape(source[at : m.start()]))
         at = m.end()
         if not m[2]:
             if m[0] == "<":
-                stack[-1].children.append("<")
+                tree.text("<")
             continue
+        attributes, closed, last = {}, False, ""
+        while a := _ATTRIBUTE.match(source, at):
+            at = a.end()
+            if a[1]:
+                closed, last = True, source[at - 2]
+                break
+            attributes.setdefault(a[2].lower(), html.unescape(a[3] or a[4] or a[5] or ""))
+        if not closed:  # the source ends within the tag
+            break
         tag = m[2].lower()
         if m[1]:
-            if not open_tags[tag]:
-                if tag == "p":
-                    stack[-1].children.append(Node("p", {}))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    cut_at(k)
-                    break
-                if stack[k].tag in _END_SCOPE and tag != "table":
-                    break
+            tree.end(tag)
             continue
-        attributes = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        if tag in CLOSES:
-            close(*CLOSES[tag])
-        if tag in BLOCKS and tag not in ("option", "optgroup"):
-            close(frozenset(["p"]), _P_SCOPE)
-            if stack[-1].tag == "head" and tag not in ("html",):
-                cut_at(len(stack) - 1)
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
-            push(Node("tr", {}))
+        tree.start(tag)
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
-        if tag in RAW:
+        if tag in VOID or last == "/":
+            tree.stack[-1].children.append(node)
+        elif tag in RAW:
+            tree.stack[-1].children.append(node)
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             text = source[at : end.start()] if end else source[at:]
             node.children.append(html.unescape(text) if tag in ("textarea", "title") else text)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-            open_tags[tag] += 1
-    return root
+        else:
+            tree.push(node)
+    return tree.root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     a = node.attributes
-    return node.tag not in HIDDEN and "hidden" not in a and not (a.get("style") and _INVISIBLE.search(a["style"])) and not (node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return node.tag not in HIDDEN and "hidden" not in a and not ("style" in a and _NO_DISPLAY.search(a["style"])) and not (node.tag == "input" and a.get("type", "").lower() == "hidden")
+
+
+def shown(node: Node, above: bool) -> bool:
+    """Whether text in the node is visible, by its own style or else as above it."""
+    style = node.attributes.get("style")
+    said = _VISIBILITY.findall(style) if style else None
+    return said[-1].lower() == "visible" if said else above
 
 
 class _Out:
@@ -172,29 +208,109 @@ class _Out:
         self.gap = max(self.gap, gap)
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    """Rows of cells (which may have several lines), padded to the width of their columns."""
-    grid = [[c.split("\n") for c in r] for r in rows]
-    widths = [max((len(x) for r in grid if k < len(r) for x in r[k]), default=0) for k in range(max(map(len, grid), default=0))]
-    out = []
-    for r in grid:
-        for y in range(max(map(len, r), default=0)):
-            out.append("  ".join((c[y] if y < len(c) else "").ljust(widths[k]) for k, c in enumerate(r)).rstrip())
-    return out
+def _span(node: Node, name: str, most: int) -> int:
+    """A span as the standard reads it: 1 if it isn't a number, at most `most`."""
+    digits = node.attributes.get(name, "1").strip()[:9]
+    return min(max(int(digits), 1), most) if digits.isdecimal() else 1
+
+
+class _Grid:
+    """Cells by row and column. Cells of a row take the next columns that no cell of a row above spans.
+
+    What spans down is kept as disjoint ranges of columns, each with the row after it; chains of ranges are remembered, so that a row doesn't walk them again."""
+
+    def __init__(self):
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.captions: list[str] = []
+        self.column = 0
+        self.starts: list[int] = []
+        self.ranges: dict[int, tuple[int, int]] = {}  # start: (column after, row after)
+        self.chains: dict[int, tuple[int, int]] = {}
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.column = 0
+
+    def free(self, column: int) -> int:
+        """The next column that is free in this row."""
+        now, i = len(self.rows) - 1, bisect_right(self.starts, column) - 1
+        at = self.starts[i] if i >= 0 else column
+        if at not in self.ranges or self.ranges[at][0] <= column or self.ranges[at][1] <= now:
+            return column
+        first, until = at, self.ranges[at][1]
+        while (found := self.chains.get(at)) and found[1] > now or (found := self.ranges.get(at)) and found[1] > now:
+            at, until = found[0], min(until, found[1])
+        self.chains[first] = (at, until)
+        return at
+
+    def reserve(self, start: int, end: int, until: int) -> None:
+        """Takes the columns up to a row; where ranges overlap the later row counts."""
+        now, at, new = len(self.rows) - 1, start, []
+        i = bisect_right(self.starts, start)
+        if i and self.ranges[self.starts[i - 1]][0] > start:  # has ended, since start is free
+            i -= 1
+            if self.starts[i] < start:
+                new.append((self.starts[i], start, self.ranges[self.starts[i]][1]))
+        j = i
+        while j < len(self.starts) and self.starts[j] < end:
+            a = self.starts[j]
+            b, row = self.ranges.pop(a)
+            j += 1
+            if row > now and b > at:
+                new += [(at, a, until), (max(a, at), min(b, end), max(row, until)), (end, b, row)]
+                at = b
+        new.append((at, end, until))
+        new = [x for x in new if x[0] < x[1]]
+        self.starts[i:j] = [a for a, _, _ in new]
+        for a, b, row in new:
+            self.ranges[a] = (b, row)
+
+    def cell(self, node: Node, text: str) -> None:
+        if not self.rows:
+            self.row()
+        column = self.free(self.column)
+        self.column = column + _span(node, "colspan", 1000)
+        self.rows[-1].append((column, text.split("\n")))
+        if (down := _span(node, "rowspan", 65534)) > 1:
+            self.reserve(column, self.column, len(self.rows) - 1 + down)
+
+    def lines(self) -> list[str]:
+        """Rows padded to the widths of the columns that hold text."""
+        width: dict[int, int] = {}
+        for row in self.rows:
+            for column, lines in row:
+                if most := max(map(len, lines)):
+                    width[column] = max(width.get(column, 0), most)
+        place, at = {}, 0
+        for column in sorted(width):
+            place[column] = at
+            at += width[column] + 2
+        out = [x for c in self.captions for x in c.split("\n")]
+        for row in self.rows:
+            for y in range(max((len(lines) for _, lines in row), default=0)):
+                line, size = [], 0
+                for column, lines in row:
+                    if y < len(lines) and lines[y]:
+                        line += [" " * (place[column] - size), lines[y]]
+                        size = place[column] + len(lines[y])
+                out.append("".join(line).rstrip())
+        return out
 
 
 def render(root: Node) -> str:
-    """Visible text of a tree. The stack holds (step, node, argument); tables and cells render into outputs of their own."""
+    """Visible text of a tree. The stack holds (step, node, visible); tables and cells render into outputs of their own."""
     outs = [_Out()]
     lists: list[list] = []
-    tables: list[list[list[str]]] = []
+    tables: list[_Grid | None] = []  # None: so deep that it is laid out as blocks
     pre = 0
-    stack: list[tuple] = [("open", root)]
+    stack: list[tuple] = [("open", root, True)]
     while stack:
-        step, node = stack.pop()
+        step, node, seen = stack.pop()
         out = outs[-1]
         if step == "open":
             if isinstance(node, str):
+                if not seen:
+                    continue
                 if pre:
                     first, *rest = node.split("\n")
                     out.line.append(first)
@@ -204,9 +320,9 @@ def render(root: Node) -> str:
                 else:
                     out.text(node)
                 continue
-            if node.tag != "#root" and not visible(node):
+            if node.tag != "#root" and not displayed(node):
                 continue
-            tag = node.tag
+            tag, seen = node.tag, shown(node, seen)
             if tag == "br":
                 out.end_line(True)
                 continue
@@ -214,59 +330,56 @@ def render(root: Node) -> str:
                 out.block(1)
                 continue
             if tag == "img":
-                if alt := node.attributes.get("alt", "").strip():
+                if seen and (alt := node.attributes.get("alt", "").strip()):
                     out.text(f" {alt} ")
                 continue
             if tag == "input":
-                if node.attributes.get("type", "").lower() in ("submit", "button", "reset") and (v := node.attributes.get("value")):
+                if seen and node.attributes.get("type", "").lower() in ("submit", "button", "reset") and (v := node.attributes.get("value")):
                     out.text(f" {v} ")
                 continue
-            if tag in BLOCKS and tag not in ("tr",):
+            grid = tables[-1] if tables else None
+            if tag in BLOCKS and not (tag == "tr" and grid):
                 nested = tag in ("ul", "ol") and len(lists) > 0
                 out.block(0 if nested else BLOCKS[tag])
             if tag in ("ul", "ol", "menu", "dir"):
-                start = node.attributes.get("start", "1")
-                lists.append([tag == "ol", int(start) if start.lstrip("-").isdigit() and len(start) < 9 else 1, out.prefix])
+                start = node.attributes.get("start", "1").strip()
+                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,18}", start, re.A) else 1, out.prefix])
             elif tag == "li":
                 kind = lists[-1] if lists else [False, 1, ""]
-                out.prefix = "  " * max(len(lists) - 1, 0) + (f"{kind[1]}. " if kind[0] else "- ")
+                out.prefix = "  " * min(max(len(lists) - 1, 0), DEEPEST) + (f"{kind[1]}. " if kind[0] else "- ")
                 kind[1] += 1
             elif tag == "dd":
                 lists.append([False, 1, out.prefix])
-                out.prefix = " " * len(out.prefix) + "  "
+                out.prefix = " " * min(len(out.prefix) + 2, 2 * DEEPEST)
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
-                tables[-1].append([])
-            elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
+                tables.append(_Grid() if len(tables) < DEEPEST else None)
+            elif tag == "tr" and grid:
+                grid.row()
+            elif tag in ("td", "th", "caption") and grid:
                 outs.append(_Out())
             elif tag in ("td", "th"):
                 out.text(" ")
-            elif tag == "caption" and tables:
-                outs.append(_Out())
             elif tag == "pre":
                 pre += 1
-            stack.append(("close", node))
-            stack.extend(("open", c) for c in reversed(node.children))
+            stack.append(("close", node, seen))
+            stack.extend(("open", c, seen) for c in reversed(node.children))
             continue
         tag = node.tag
-        if tag in ("td", "th", "caption") and tables:
+        grid = tables[-1] if tables else None
+        if tag in ("td", "th", "caption") and grid:
             out.end_line()
             outs.pop()
             text = "\n".join(out.lines)
             if tag == "caption":
-                tables[-1].insert(0, [text])
+                grid.captions.append(text)
             else:
-                span = node.attributes.get("colspan", "1")
-                tables[-1][-1].append(text)
-                tables[-1][-1] += [""] * (min(int(span), 1000) - 1 if span.isdigit() else 0)
+                grid.cell(node, text)
         elif tag == "table":
             out.end_line()  # text of the table outside its cells stands before it
-            for line in _table(tables.pop()):
-                out.line.append(line)
-                out.end_line(True)
+            if tables.pop():
+                for line in grid.lines():
+                    out.line.append(line)
+                    out.end_line(True)
             out.block(1)
         elif tag in ("ul", "ol", "menu", "dir"):
             out.end_line()
@@ -280,7 +393,7 @@ def render(root: Node) -> str:
                 out.prefix = ""
             out.end_line()
             out.prefix = lists[-1][2] if lists else ""
-        elif tag in BLOCKS and tag != "tr":
+        elif tag in BLOCKS and not (tag == "tr" and grid):
             if tag == "pre":
                 pre = max(pre - 1, 0)
             out.block(BLOCKS[tag])

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from canopyql.llm import embedding_dedup
 from canopyql.llm.components import components
@@ -135,6 +136,17 @@ PAGES = {
     "<h1>T</h1><p>a <b>b</b>  c</p>": "T\n\na b c",
     "plain text": "plain text",
     "</p></div><b>x": "x",
+    "<html><head><title>t</title>Hello <b>world</b> text<p>para": "Hello world text\n\npara",
+    "<head><meta charset=x> \n<span>a</span><title>t</title>b": "ab",
+    "<div style='visibility:hidden'>a<b style='color:red; visibility: visible'>B</b>c<p>d</div>e": "B\n\ne",
+    "<div style='display:none'>a<b style='visibility:visible'>B</b></div>c": "c",
+    "<table><tr><td rowspan=2>A<td>B<tr><td>C</table>": "A  B\n   C",
+    "<table><tr><td>a<td rowspan=2>b<td rowspan=3>c<tr><td>d<tr><td>e<td>f</table>": "a  b  c\nd\ne  f",
+    "<table><tr><th colspan=2>ab<th>z<tr><td>1<td>22<td>3</table>": "ab      z\n1   22  3",
+    "<select><option>one<option selected>two</select><math><mi>x</mi><annotation>tex</annotation></math>": "one\ntwo\nx",
+    "<svg><title>no</title><text>yes</text><desc>nah</desc></svg>": "yes",
+    "a <p title=\"q'> z</p> more": "a\n\nz\n\nmore",
+    "x < y <b": "x < y",
     "": "",
 }
 
@@ -156,9 +168,83 @@ def test_all_visible_words_come_out(spark):
         assert sorted(x for x in page_text("".join(out)).split() if x != "-") == sorted(words)
 
 
+@pytest.mark.parametrize("unit", ["<a ", '<a x="', "<a x='\"", "<b><table><a>", "<ul><li>x", "<table><tr><td>x", "<td rowspan=9999>x<tr>", "<dl><dt><dd>y", "<p><i>", "<!-", "</p>", "&amp;<q "])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        t = time.perf_counter()
+        page_text(unit * n)
+        took.append(time.perf_counter() - t)
+    assert took[1] < 12 * took[0] + 0.5 and took[1] < 10
+
+
+def random_page(r) -> tuple[str, str]:
+    """A page of paragraphs, lists and tables with some end tags left out, and its text by a version of its own."""
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(1, 6)))
+    end = lambda tag: f"</{tag}>" if r.random() < 0.5 else ""
+
+    def paragraph():
+        t = " ".join(word() for _ in range(r.randint(1, 5)))
+        return f"<p>{t.replace(' ', r.choice([' ', '  ', chr(10), '<b> </b>']))}{end('p')}", [t]
+
+    def listing(depth=0):
+        kind, source, lines = r.choice(["ul", "ol"]), "", []
+        for k in range(r.randint(1, 3)):
+            w = word()
+            source += f"<li>{w}"
+            lines.append("  " * depth + (f"{k + 1}. " if kind == "ol" else "- ") + w)
+            if depth < 2 and r.random() < 0.4:
+                inner, more = listing(depth + 1)
+                source, lines = source + inner, lines + more
+            source += end("li")
+        return f"<{kind}>{source}</{kind}>", lines
+
+    def table():
+        taken, cells, source = set(), {}, ""
+        height = r.randint(1, 5)
+        for y in range(height):
+            source += "<tr>"
+            x = 0
+            for _ in range(r.randint(1, 4)):
+                while (y, x) in taken:
+                    x += 1
+                w, across, down = word(), r.choice([1, 1, 1, 2, 3]), r.choice([1, 1, 1, 2, 3])
+                source += f"<{r.choice(['td', 'th'])}{f' colspan={across}' if across > 1 else ''}{f' rowspan={down}' if down > 1 else ''}>{w}{end('td') if r.random() < 0.1 else ''}"
+                cells[y, x] = w
+                # a cell that reaches over another one's place lies under it
+                taken |= {(y + j, x + i) for i in range(across) for j in range(down)}
+                x += across
+            source += end("tr")
+        columns = sorted({x for _, x in cells})
+        width = {x: max(len(w) for (_, k), w in cells.items() if k == x) for x in columns}
+        lines = []
+        for y in range(height):
+            lines.append("  ".join(cells.get((y, x), "").ljust(width[x]) for x in columns).rstrip())
+        return f"<table>{source}</table>", lines
+
+    source, blocks = "", []
+    for _ in range(r.randint(1, 6)):
+        part, lines = r.choice([paragraph, listing, table])()
+        source += part
+        blocks.append("\n".join(lines))
+    return source, "\n\n".join(blocks)
+
+
+def test_random_pages_with_tables():
+    import random
+
+    r = random.Random(11)
+    for _ in range(600):
+        source, want = random_page(r)
+        assert page_text(source) == want, source
+
+
 def test_pages_table(spark):
-    d = spark.createDataFrame([(1, None), (2, "<p>x"), (2, "<p>x"), (3, "<b>" * 2000 + "deep")], "page_id int, html string")
-    assert sorted((r.page_id, r.text) for r in extract(d).collect()) == [(1, ""), (2, "x"), (2, "x"), (3, "deep")]
+    d = spark.createDataFrame([(1, None), (2, "<p>x"), (2, "<p>x"), (3, "<b>" * 2000 + "deep"), (None, "y")], "page_id int, html string")
+    clash = d.withColumns({"text": F.lit("clash"), "n_lines": F.lit(None).cast("string")})
+    assert sorted(((r.page_id, r.text) for r in extract(clash).collect()), key=lambda x: (x[0] is None, x)) == [(1, ""), (2, "x"), (2, "x"), (3, "deep"), (None, "y")]
     assert extract(d.limit(0)).count() == 0
 
 
