@@ -41,7 +41,7 @@ def test_vectors(spark, k):
     rows += [((base[0] + 0.02 * r.standard_normal(16)).astype(np.float32).tolist(), 0) for _ in range(40)]
     rows += [(rows[1][0], 1)] * 9 + [((2 * base[4]).astype(np.float32).tolist(), 1), (rows[4][0], 2)]
     rows += [(None, 1), ([0.0] * 16, 1), ([float("nan")] * 16, 1), ([None] * 16, 1), (rows[0][0], None), ([1.0, 0.0], 1), ([float("inf")] * 16, 1)]
-    d = spark.createDataFrame([(i, v, label, "x") for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<float>, label int, extra string")
+    d = spark.createDataFrame([(i, v, label, "x") for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<float>, label int, cid string").withColumns({"vec": F.lit(1), "n": F.lit(2)})
     got = {x.vec_id: x for x in embedding_dedup.near_duplicates(d, k=k).collect()}
     pairs = []
     fine = [i for i, (v, label) in enumerate(rows) if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
@@ -76,8 +76,8 @@ def found_vectors(spark, rows, **options):
 @pytest.mark.parametrize("size", [1 << 14, 1 << 20])
 def test_full_lists_hide_another_group(spark, size, monkeypatch):
     """Two groups of near copies whose lists hold their own group only, though most pairs across link."""
-    monkeypatch.setattr(embedding_dedup, "SEARCH_BYTES", size, raising=False)
-    monkeypatch.setattr(embedding_dedup, "EXACT", 0, raising=False)
+    monkeypatch.setattr(embedding_dedup, "SEARCH_BYTES", size)
+    monkeypatch.setattr(embedding_dedup, "LONGEST", 24)
     r = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     a = unit(r.standard_normal(64))
@@ -90,6 +90,33 @@ def test_full_lists_hide_another_group(spark, size, monkeypatch):
     assert found_vectors(spark, rows) == (links, component)
 
 
+def planted(share: float, n: int = 6000, dims: int = 32):
+    """n vectors of one label and a share of them in groups of near copies of 2 to 60, and a group that chains."""
+    r = np.random.default_rng(int(1000 * share))
+    rows, left = list(r.standard_normal((n - int(share * n), dims))), int(share * n)
+    while left > 1:
+        size = min(left, int(r.choice([2, 2, 2, 3, 5, 12, 13, 14, 30, 60])))
+        base = r.standard_normal(dims)
+        rows += [base + 0.1 * r.standard_normal(dims) for _ in range(size)]
+        left -= size
+    x, step = r.standard_normal(dims), r.standard_normal(dims)
+    rows += [x + 0.25 * i * step for i in range(12)]
+    return [(rows[i].astype(np.float32).tolist(), 0) for i in r.permutation(len(rows))]
+
+
+@pytest.mark.parametrize("share", [0.001, 0.05, 0.5])
+def test_descent_finds_planted_links(spark, share, monkeypatch):
+    """Recall of the lists alone: no audit fails and no list is searched exactly."""
+    rows = planted(share)
+    links, component = vectors_by_force(rows)
+    monkeypatch.setattr(embedding_dedup, "LONGEST", 256)
+    monkeypatch.setattr(embedding_dedup, "near_pivots", None)
+    got, parts = found_vectors(spark, rows, least_recall=0.0)
+    assert all(x <= y for x, y in zip(got, links, strict=True))
+    assert sum(got) >= 0.97 * sum(links) > 10
+    assert found_vectors(spark, rows[:1500])[1] == vectors_by_force(rows[:1500])[1] and len(parts) == len(component)
+
+
 def rare_links():
     """2,000 vectors of one label, of which one in a hundred has a link, and a small label."""
     r = np.random.default_rng(9)
@@ -103,21 +130,28 @@ def test_failed_audit_compares_exactly(spark, monkeypatch):
     rows = rare_links()
     want = vectors_by_force(rows)
     assert sum(want[0]) == 42
-    monkeypatch.setattr(embedding_dedup, "EXACT", 10, raising=False)
-    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 1, raising=False)
-    monkeypatch.setattr(embedding_dedup, "first_lists", lambda classes, k, n: classes.limit(0).selectExpr("cid + 0 as cid", "cast(array() as array<long>) nbrs", "cast(array() as array<double>) sims"))
-    # each node's list holds one node that is no link
-    far = lambda state, *_: state.selectExpr("cid + 0 as cid", "array(cast(1 as long)) nbrs", "array(cast(0.0 as double)) sims")
-    monkeypatch.setattr(embedding_dedup, "descend", far)
+    monkeypatch.setattr(embedding_dedup, "ATTEMPTS", 2)
+    nothing = lambda nodes, *_: nodes.limit(0).selectExpr("cid + 0 as cid", "cast('' as binary) ids", "cast('' as binary) codes", "cast('' as binary) dists")
+    monkeypatch.setattr(embedding_dedup, "first_lists", nothing)
+    monkeypatch.setattr(embedding_dedup, "descend", nothing)
     assert found_vectors(spark, rows) == want
 
 
 def test_audit_by_label(spark):
     v = lambda *x: np.array(x, np.float32).tobytes()
-    far = ([5], [0.0])
-    rows = [(1, 0, v(1, 0), [2, 5], [1.0, 0.0]), (2, 0, v(1, 0.01), [1, 5], [1.0, 0.0]), (3, 1, v(1, 0), *far), (4, 1, v(1, 0.01), *far), (5, 1, v(0, 1), *far), (6, 2, v(0, 1), *far)]
-    state = spark.createDataFrame(rows, "cid long, label int, vec binary, nbrs array<long>, sims array<double>")
-    assert {x.label: x.recall for x in embedding_dedup.audit(state, 0.93).collect()} == {0: 1.0, 1: 0.0}
+    rows = [(1, 0, v(1, 0)), (2, 0, v(1, 0.01)), (5, 0, v(0, 1)), (3, 1, v(1, 0)), (4, 1, v(1, 0.01)), (6, 2, v(0, 1)), (7, 3, v(1, 1)), (8, 3, v(1, 1.01))]
+    nodes = spark.createDataFrame(rows, "cid long, label int, vec binary").withColumn("bytes", F.length("vec"))
+    links, full = spark.createDataFrame([(1, 2)], "a long, b long"), spark.createDataFrame([(7,), (8,)], "cid long")
+    assert {x.label: (x.links, x.recall) for x in embedding_dedup.audit(nodes, links, full, 0.93).collect()} == {0: (2, 1.0), 1: (2, 0.0)}
+
+
+def test_vectors_without_or_with_equal_ids(spark):
+    x, y, z = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.0]
+    rows = [(None, x, 0), (None, y, 0), (None, z, 0), (7, x, 0), (8, z, 1), (8, y, 1), (9, x, 1), (None, None, None), (10, z, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    key = lambda r: tuple((v is None, v) for v in r)
+    want = [(None, 2, 7, False), (None, 2, 7, False), (None, 0, None, True), (7, 2, 7, True), (8, 0, 8, True), (8, 1, 8, True), (9, 1, 8, False), (None, 0, None, True), (10, 0, 10, True)]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
 def test_vectors_of_an_empty_table(spark):
