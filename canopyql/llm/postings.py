@@ -10,10 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FLUSH = 1_000_000
+#: Postings that a task gathers before they go out: so many, or PER_BLOB for each bucket, up to MOST_HELD (some 100 MB).
+FLUSH, PER_BLOB, MOST_HELD = 1_000_000, 64, 4_000_000
 MARKS = "part int, ids binary, tags binary, counts binary, positions binary"
 
 
+def flush_size(buckets: int, least: int | None = None) -> int:
+    """A flush that leaves a blob of some dozens of postings in each row as long as memory allows."""
+    return min(max(least or FLUSH, PER_BLOB * buckets), MOST_HELD)
+
+
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     """The part of documents that a document stands in; parts is odd. `part_column` is the same for Spark."""
     x = ids.astype(np.int64)
@@ -74,9 +80,10 @@ def by_hash(p: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray
 
 
 class Collector:
-    """Gathers the postings of a task; every FLUSH of them go out as blobs."""
+    """Gathers the postings of a task; every `flush` of them go out as blobs."""
 
-    def __init__(self):
+    def __init__(self, flush: int = FLUSH):
+        self.flush = flush
         self.kept: list[tuple[np.ndarray, ...]] = []
         self.n = 0
 
@@ -84,7 +91,7 @@ class Collector:
         if len(hashes):
             self.kept.append((hashes, ids, tags, positions.astype(np.int32)))
             self.n += len(hashes)
-        return self.n >= FLUSH
+        return self.n >= self.flush
 
     def take(self) -> dict[str, np.ndarray]:
         names, kinds = ("hashes", "ids", "tags", "positions"), (np.uint64, np.int64, np.uint32, np.int32)

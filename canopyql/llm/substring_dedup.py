@@ -10,9 +10,10 @@ first document of a hash are settled there, and one posting for the hash goes on
 of copies gathers in one task. Texts move twice: to meet their marks, and, if marked, to meet their removed windows.
 
 Cases: null text has no words; with fewer than 50 words nothing is removed; rows with equal doc_id are one document, none
-is "smaller" than another, and each row keeps its own positions (a tag of its words tells them apart); an empty
-table gives no rows; extra columns are dropped by ``report`` and kept by ``filter_documents``. Window hashes have 64 bits
-and meet only under equal anchors' marks.
+is "smaller" than another, and each row keeps its own positions (a tag of its words tells them apart); a row without a doc_id is neither smaller
+nor larger than another, so it loses nothing and makes nobody lose anything; an empty
+table gives no rows; extra columns are dropped by ``report`` and kept by ``filter_documents``. A very long text is handled alone, in memory of some 60 bytes for
+each of its own. Window hashes have 64 bits and meet only under equal anchors' marks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .postings import MARKS, Collector, by_hash, pack_rows, part_column, part_of, unpack
+from .postings import MARKS, Collector, by_hash, flush_size, pack_rows, part_column, part_of, unpack
 from .storage import Scratch
 from .words import Words, chunks, ranges, release, text_buffer, window_hashes
 
@@ -146,7 +147,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
         yield from _blobs(p, settled, buckets, parts)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Collector()
+        c = Collector(flush_size(buckets))
         for batch in batches:
             ids, (offsets, data) = batch.column(0).to_numpy(zero_copy_only=False), text_buffer(batch.column(1))
             for i, j in chunks(offsets):
@@ -169,7 +170,8 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
         texts = texts.combine_chunks()
         if not texts.num_rows:
             return _empty(kept_schema)
-        ids, column = texts["doc_id"].to_numpy(), texts["text"].combine_chunks()
+        column, named = texts["text"].combine_chunks(), texts["doc_id"].combine_chunks()
+        has_id, ids = named.is_valid().to_numpy(zero_copy_only=False), named.fill_null(0).to_numpy()
         offsets, data = text_buffer(column)
         n_words, sha, spans = [], [], []
         for i, j in chunks(offsets):
@@ -178,7 +180,7 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
             for k in range(j - i):
                 a, b = int(w.words[k]), int(w.words[k + 1])
                 n_words.append(b - a)
-                x = marked.of(int(ids[i + k]), int(tags[k])) if b - a >= window else ()
+                x = marked.of(int(ids[i + k]), int(tags[k])) if b - a >= window and has_id[i + k] else ()
                 if len(x):
                     first = np.maximum(x - (period - 1), 0)
                     d = np.zeros(b - a - window + 2, np.int32)
@@ -194,12 +196,12 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
         release()
         hit = pa.array([s is not None for s in spans])
         text = pa.compute.if_else(hit, column, pa.scalar(None, column.type))
-        return pa.table([texts["part"].combine_chunks(), pa.array(ids), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), text, pa.array(spans, pa.binary())], schema=kept_schema)
+        return pa.table([texts["part"].combine_chunks(), named, pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), text, pa.array(spans, pa.binary())], schema=kept_schema)
 
     kept_schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("spans", pa.binary())])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Collector()
+        c = Collector(flush_size(buckets))
         for batch in batches:
             ids, (offsets, data), spans = batch.column(0).to_numpy(zero_copy_only=False), text_buffer(batch.column(1)), batch.column(2)
             for i, j in chunks(offsets):
@@ -214,11 +216,11 @@ def removed_windows(docs: DataFrame, scratch: Scratch, window: int = 50, period:
         yield from flush(c, True)
         release()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text")
-    flushed = scratch.save(rows.mapInArrow(anchors, FLUSHED))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    flushed = scratch.save(rows.filter("doc_id is not null").mapInArrow(anchors, FLUSHED))
     marks = scratch.save(_marks(flushed, parts, False))
     scratch.drop(flushed)
-    whole = rows.select(part_column(F.col("doc_id"), parts).alias("part"), "doc_id", "text").groupBy("part")
+    whole = rows.select(part_column(F.coalesce("doc_id", F.xxhash64("text")), parts).alias("part"), "doc_id", "text").groupBy("part")
     kept = scratch.save(whole.cogroup(marks.groupBy("part")).applyInArrow(candidates, "part int, doc_id long, n_words long, sha string, text string, spans binary"))
     scratch.drop(marks)
     flushed = scratch.save(kept.filter("spans is not null").select("doc_id", "text", "spans").mapInArrow(windows, FLUSHED))
@@ -278,7 +280,7 @@ def filter_documents(docs: DataFrame, window: int = 50) -> DataFrame:
     # rows of one doc_id are told apart by a checksum of their whole text; the input's columns travel as one struct, so that no name clashes
     changed = changed.select(F.col("doc_id").alias("c_id"), F.col("was").alias("c_was"), F.col("kept_text").alias("c_text")).dropDuplicates(["c_id", "c_was"])
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
-    rows = rows.select("d", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(-1)).alias("d_id"), F.xxhash64(F.coalesce("d.text", F.lit(""))).alias("d_was"))
+    rows = rows.select("d", F.col("d.doc_id").cast("long").alias("d_id"), F.xxhash64(F.coalesce("d.text", F.lit(""))).alias("d_was"))
     joined = rows.join(changed, (F.col("d_id") == F.col("c_id")) & (F.col("d_was") == F.col("c_was")), "left")
     out = {c: F.col("d")[c] for c in docs.columns}
     out["text"] = F.coalesce("c_text", "d.text")
