@@ -23,7 +23,7 @@ task post once, and only the smallest id of all copies is compared.
 
 Cases: null or empty texts have no shingles and link with nothing; fewer than k words are one shingle; rows with equal doc_id are
 one node of the components, each text of them with its own links; a row with a null doc_id is a node by its text, and a component of
-such rows only has a null id; only components come out, not links: in large groups not every link is computed; an empty table gives no rows; extra columns are ignored. Postings travel in blobs (one row carries many), at
+such rows only has a null id; only components come out, not links: in large groups not every link is computed; an empty table gives no rows; extra columns are ignored. A very long text is handled alone, in memory of some 100 bytes for each of its own. Postings travel in blobs (one row carries many), at
 most HOT of a hash from one flush.
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .postings import part_column
+from .postings import flush_size, part_column
 from .storage import Scratch
 from .words import U, Words, binary_array, chunks, mix, ranges, release, text_buffer, window_hashes
 
@@ -50,7 +50,8 @@ RESERVE = 1.0
 #: Documents and shingles of a block of a family, two of which meet in one task.
 FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 1_000_000
 FLUSH = 400_000
-BUCKET_BYTES, PART_BYTES = 4 << 20, 3 << 20
+#: Text bytes of a bucket of postings (more of them beyond BUCKETS buckets, up to four times), and of a part of documents.
+BUCKET_BYTES, BUCKETS, PART_BYTES = 4 << 20, 2048, 3 << 20
 BAND_GROWTH = 1.5
 POSTING, HOT_MARK, DOCUMENT, PAIR, HOT_MEMBER, SKETCH = range(6)
 #: Segments up to which the cost of an allocation is tried beyond the least.
@@ -161,7 +162,7 @@ def signatures(s: np.ndarray, at: np.ndarray, bands: Bands) -> Iterator[tuple[np
                 names = np.zeros(base[-1], U)
                 names[full] = name
                 yield mix((total[key[each]] - element[pick[each]]) ^ names[key[each]]), rows[local[each]], info[local[each]]
-            rows = rows[2 * empty >= 2 * m - h] if seed < 64 else rows[:0]
+            rows = rows[2 * empty >= 2 * m - h]  # each round leaves a tiny share, so this ends
             rows = rows[sizes[rows] > 1]
             seed += 1
 
@@ -207,8 +208,7 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
         return ((np.arange(n) // 4096 + first) % buckets).astype(np.int32)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, kept, held, turn = Bands(percent), [], 0, 0
-        digests: list[np.ndarray] = []
+        bands, kept, held, turn, limit = Bands(percent), [], 0, 0, flush_size(buckets, FLUSH)
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal kept, held, turn
@@ -216,7 +216,6 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
                 return
             x, y, z = (np.concatenate([r[i] for r in kept]) for i in range(3))
             kept, held = [], 0
-            digests.clear()
             order = np.argsort(x)
             starts = np.flatnonzero(np.concatenate([[True], x[order][1:] != x[order][:-1]]))
             sizes = np.diff(np.append(starts, len(x)))
@@ -257,7 +256,7 @@ def candidates(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame
                 for x, row, info in signatures(s[np.repeat(at[alone], n) + ranges(n)], at2, bands):
                     kept.append((x, own[alone[row]], info.astype(np.int32)))
                     held += len(x)
-                if held >= FLUSH:
+                if held >= limit:
                     yield from flush()
         yield from flush()
         release()
@@ -342,8 +341,8 @@ def family_links(own: DataFrame, rare: DataFrame, scratch: Scratch, percent: int
     """Links (a, b) between documents of different components that share a rare shingle, directly or through others.
 
     Such documents form families, often large ones of near misses. A family is dealt out as pairs of blocks of bounded size;
-    in a task all intersections are products of incidence matrices, and only links come out, never pairs.
-    own: (doc, c, s) with the set of each document; rare: (gid, doc)."""
+    in a task all intersections are products of incidence matrices, and only links come out, never pairs. Blocks hold sizes of one band, and
+    meet those of the same band and of the next. own: (doc, c, s) with the set of each document; rare: (gid, doc, n, inner)."""
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -377,14 +376,26 @@ def family_links(own: DataFrame, rare: DataFrame, scratch: Scratch, percent: int
         release()
         return pa.table({"a": doc[left[p]], "b": doc[right[q]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    star = rare.join(rare.groupBy("gid").agg(F.min("doc").alias("a")), "gid").filter("a < doc").select("a", F.col("doc").alias("b")).distinct()
+    # a shingle that stands in nobody's inner prefix brings no pair; neither do documents smaller than all whose inner prefix holds it
+    of = rare.groupBy("gid").agg(F.min(F.when(F.col("inner"), F.col("n"))).alias("least"))
+    use = scratch.save(rare.join(of, "gid").filter(F.col("n") >= F.col("least")).select("gid", "doc"))
+    star = use.join(use.groupBy("gid").agg(F.min("doc").alias("a")), "gid").filter("a < doc").select("a", F.col("doc").alias("b")).distinct()
     family = components(star, scratch)
-    member = own.join(family, F.col("doc") == F.col("node")).select("doc", "c", "s", F.col("component").alias("family"))
-    room = member.groupBy("family").agg(F.greatest(F.ceil(F.sum(F.size("s")) / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_BLOCK)).cast("int").alias("blocks"))
-    m = member.join(room, "family").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("family", "doc", "c", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return m.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long").filter("a <> b").distinct()
+    # bands of sizes a factor of 100 / percent apart: partners stand in the same band or the next
+    band = F.floor(F.log(F.size("s").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    member = own.join(family, F.col("doc") == F.col("node")).select("doc", "c", "s", F.col("component").alias("family"), band.alias("band"))
+    room = member.groupBy("family", "band").agg(F.greatest(F.ceil(F.sum(F.size("s")) / FAMILY_SHINGLES), F.ceil(F.count("*") / FAMILY_BLOCK)).cast("int").alias("blocks"))
+    above = room.select("family", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = room.select("family", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    room = scratch.save(room.join(above, ["family", "band"], "left").join(below, ["family", "band"], "left").fillna(0, ["above", "below"]))
+    m = member.join(room, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    inside = m.select("family", "doc", "c", "s", "band", F.lit(0).alias("next"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    inside = inside.select("family", "doc", "c", "s", "band", "next", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # across two bands: i is a block of the lower, -1 - j one of the upper
+    lower = m.filter("above > 0").select("family", "doc", "c", "s", "band", F.lit(1).alias("next"), "block", F.col("block").alias("i"), F.explode(F.sequence(F.lit(-1), -F.col("above"))).alias("j"))
+    upper = m.filter("below > 0").select("family", "doc", "c", "s", (F.col("band") - 1).alias("band"), F.lit(1).alias("next"), (-1 - F.col("block")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("below") - 1)).alias("i"), (-1 - F.col("block")).alias("j"))
+    m = inside.unionByName(lower).unionByName(upper)
+    return m.groupBy("family", "band", "next", "i", "j").applyInArrow(compare, "a long, b long").filter("a <> b").distinct()
 
 
 def sets_of(texts: DataFrame, rest: DataFrame, k: int) -> DataFrame:
@@ -402,16 +413,20 @@ def sets_of(texts: DataFrame, rest: DataFrame, k: int) -> DataFrame:
 
 
 def rarest_shingles(own: DataFrame, percent: int) -> DataFrame:
-    """(gid, doc): of each document its rarest shingles, so many that two that link share one of them.
+    """(gid, doc, n, inner): of each document of n shingles its rarest ones.
 
+    In one order of all shingles by rarity, the first that two linked sets share stands within the first n - ceil(r n) + 1 of the larger (r is the
+    similarity) and, as they share 2 r / (1 + r) of the smaller's n at least, within the first n - ceil(2 r n / (1 + r)) + 1 of the smaller: its inner prefix.
     A shingle that only one of them has comes first and needs no row, so a passage that all of them hold is hardly ever reached."""
     each = own.select("doc", "c", F.size("s").alias("n"), F.explode("s").alias("gid"))
     often = each.groupBy("gid").agg(F.count("*").alias("often")).filter("often > 1")
     shared = each.join(often, "gid")
     by_doc = Window.partitionBy("doc", "n")
+    alone = F.col("n") - F.count("*").over(by_doc)
     prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
-    ranked = shared.select("gid", "doc", F.row_number().over(by_doc.orderBy("often", "gid")).alias("rank"), (prefix - F.col("n") + F.count("*").over(by_doc)).alias("room"))
-    return ranked.filter("rank <= room").select("gid", "doc").distinct()
+    inner = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
+    ranked = shared.select("gid", "doc", "n", (F.row_number().over(by_doc.orderBy("often", "gid")) + alone).alias("rank"))
+    return ranked.filter(F.col("rank") <= prefix).select("gid", "doc", "n", (F.col("rank") <= inner).alias("inner")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, parts: int, k: int, percent: int) -> DataFrame:
@@ -484,7 +499,8 @@ def _components(docs: DataFrame, scratch: Scratch, ties: DataFrame | None, k: in
     """node, n_shingles and component of every row of docs (__node, text); ties: further links (a, b)."""
     docs = docs.select(F.col("__node").alias("doc_id"), "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = scratch.save(candidates(docs, k, percent, max(24, math.ceil(size / BUCKET_BYTES))))
+    per_bucket = min(max(BUCKET_BYTES, size / BUCKETS), 4 * BUCKET_BYTES)
+    found = scratch.save(candidates(docs, k, percent, max(24, math.ceil(size / per_bucket))))
     of = lambda kind: found.filter(F.col("kind") == kind)
     sketches = of(SKETCH).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "sketch")
     parts = max(25, math.ceil(size / PART_BYTES) | 1)

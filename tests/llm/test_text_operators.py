@@ -109,6 +109,28 @@ def test_jaccard_families_in_blocks(docs, texts, monkeypatch):
     assert [got[i] for i in range(len(texts))] == components_by_force([shingles(t) for t in texts])
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_family_links_are_all_links(spark, block, monkeypatch):
+    """Rare shingles, inner prefixes and bands of sizes lose no link and make none up, though templates are shared by all."""
+    from canopyql.llm.storage import Scratch
+
+    monkeypatch.setattr(jaccard_join, "FAMILY_BLOCK", block)
+    r = random.Random(block)
+    templates = [r.sample(range(10**6), n) for n in (3, 8, 20, 45, 60)]
+    sets = []
+    for _ in range(260):
+        t = r.choice(templates)
+        own = set(t[: r.randint(len(t) // 2, len(t))]) | {r.randrange(10**6) for _ in range(r.randint(0, len(t) // 2 + 1))}
+        sets.append(sorted(own))
+        if r.random() < 0.4:
+            sets.append(sorted(set(own) - set(r.sample(sorted(own), r.randint(0, len(own) // 4))) | {r.randrange(10**6) for _ in range(r.randint(0, len(own) // 4))}))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
+    own = spark.createDataFrame([(i, i, x) for i, x in enumerate(sets)], "doc long, c long, s array<long>")
+    rare = jaccard_join.rarest_shingles(own, 75)
+    got = {(max(x.a, x.b), min(x.a, x.b)) for x in jaccard_join.family_links(own, rare, Scratch(spark), 75).collect()}
+    assert got == want and len(want) > 30
+
+
 @pytest.mark.parametrize("percent", [75, 90])
 def test_signatures_lose_no_pair(percent):
     """Pairs at the threshold share a posting, whatever their sizes; tiny sets leave many segments empty."""
@@ -147,6 +169,7 @@ def test_substring_dedup(docs, texts, flush, monkeypatch):
     from canopyql.llm import postings
 
     monkeypatch.setattr(postings, "FLUSH", flush)
+    monkeypatch.setattr(postings, "PER_BLOB", 1)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(docs).collect()}
     assert [got[i] for i in range(len(texts))] == removed_by_force(texts)
 
@@ -169,6 +192,14 @@ def test_repeated_rows(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(d).collect()) == [(5, 5)] * 3 + [(7, 5)]
 
 
+def test_substring_dedup_without_ids(spark):
+    """A row without an id is neither smaller nor larger than another; a true -1 is an id like any."""
+    t = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(None, t), (None, t), (3, t), (-1, t + " x"), (None, None)], "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.report(d).collect()) == Counter([(None, 60, 0), (None, 60, 0), (None, 0, 0), (3, 60, 60), (-1, 61, 0)])
+    assert Counter((r.doc_id, r.text) for r in substring_dedup.filter_documents(d).collect()) == Counter([(None, t), (None, t), (None, None), (3, ""), (-1, t + " x")])
+
+
 def test_null_and_repeated_ids(spark):
     r = random.Random(11)
     say = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(80))
