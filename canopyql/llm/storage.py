@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,27 +16,23 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (local tests), a temporary one made once."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one made once, in local mode only.
+
+    Elsewhere each executor would write to its own disk, so an unset folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", master := spark.sparkContext.master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="canopyql-")
         atexit.register(shutil.rmtree, _own["dir"], True)
     return "file://" + _own["dir"]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _folder(spark: SparkSession, path: str) -> tuple:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    """Results are read lazily, so their tables stay as long as the driver runs."""
-    if path.startswith(("file:", "/")):
-        shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), True)
-    elif spark.sparkContext._jsc is not None:
-        _delete(spark, path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 class Scratch:
@@ -43,7 +40,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.n = reach_workers(spark), f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
-        atexit.register(_delete_at_exit, spark, self.root)
+        # results are read lazily, so their tables stay as long as the driver runs; Hadoop deletes them when its JVM ends, on any file system
+        files, folder = _folder(self.spark, self.root)
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        if self.root.startswith(("file:", "/")):
+            atexit.register(shutil.rmtree, "/" + self.root.removeprefix("file:").lstrip("/"), True)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -56,4 +58,5 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for t in tables:
-            _delete(self.spark, t._scratch_path)
+            files, folder = _folder(self.spark, t._scratch_path)
+            files.delete(folder, True)
