@@ -329,6 +329,8 @@ def plausible(pairs: DataFrame, sketches: DataFrame, parts: int, percent: int) -
                     fits = fits or int(np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum()) * (100 + percent) <= (100 - percent) * (n + m)
             keep.append(fits)
         keep = np.array(keep, bool)
+        del own
+        release()
         return pa.table({"a": left["a"].to_numpy()[keep], "b": left["b"].to_numpy()[keep]}, schema=schema)
 
     own = sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
@@ -468,11 +470,15 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame |
 
     The node is the id; where that is null or has several texts, a hash of 64 bits of id and text."""
     i, text = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").isNull(), "text")
-    several = scratch.save(docs.filter(i.isNotNull()).groupBy(i.alias("__id")).agg(F.min(text).alias("x"), F.max(text).alias("y")).filter("x <> y").select("__id"))
-    hashed = i.isNull()
-    if several.limit(1).count():
-        docs, hashed = docs.join(several, i == F.col("__id"), "left"), hashed | F.col("__id").isNotNull()
-    out = docs.withColumn("__node", F.when(hashed, F.xxhash64(i.isNull(), i, F.col("text").isNull(), "text")).otherwise(i))
+    # most tables have no such id, and texts are read for this only where one has
+    again = scratch.save(docs.groupBy(i.alias("__id")).agg(F.count("*").alias("rows")).filter("rows > 1 or __id is null").select("__id"))
+    if not again.limit(1).count():
+        return docs.withColumn("__node", i), None
+    rows = docs.select(i.alias("__id"), text.alias("x")).join(again, "__id", "left_semi")
+    several = scratch.save(rows.groupBy("__id").agg(F.min("x").alias("x"), F.max("x").alias("y")).filter("x <> y").select("__id"))
+    out = docs.join(several, i == F.col("__id"), "left")
+    hashed = i.isNull() | F.col("__id").isNotNull()
+    out = out.withColumn("__node", F.when(hashed, F.xxhash64(i.isNull(), i, F.col("text").isNull(), "text")).otherwise(i))
     names = scratch.save(out.filter(hashed).select(F.col("__node").alias("node"), i.alias("id")).distinct())
     return out.drop("__id"), names if names.limit(1).count() else None
 
