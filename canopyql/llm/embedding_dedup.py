@@ -128,20 +128,19 @@ def first_lists(nodes: DataFrame, k: int, n: int, orders: int) -> DataFrame:
                 yield from _found(np.repeat(own, m), own[best].ravel(), x[best].reshape(-1, WORDS), np.take_along_axis(d, best, 1).ravel()).to_batches()
 
         for b in batches:
-            for label, size, cid, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if key != (label, size) or len(ids) >= BLOCK:
+            for label, run_, cid, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if key != (label, run_) or len(ids) >= BLOCK:
                     yield from flush()
-                    key, ids, codes = (label, size), [], []
+                    key, ids, codes = (label, run_), [], []
                 ids.append(cid)
                 codes.append(c)
         yield from flush()
 
-    out = None
-    for t in range(orders):
-        order = ["label", "bytes", F.substring(F.concat("code", "code"), 1 + 11 * t % (BITS // 8), 8), F.xxhash64("cid", F.lit(t))]
-        part = nodes.select("label", "bytes", "cid", "code").repartitionByRange(max(6, -(-n // 8192)), *order).sortWithinPartitions(*order).mapInArrow(meet, _FOUND)
-        out = part if out is None else out.unionByName(part)
-    return out
+    # all orders in one pass, each row once for each order
+    each = nodes.select("label", "bytes", "cid", "code", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))).alias("t"))
+    order = ["label", "bytes", "t", F.expr(f"substring(concat(code, code), 1 + pmod(11 * t, {BITS // 8}), 8)"), F.xxhash64("cid", "t")]
+    dealt = each.repartitionByRange(max(6, -(-orders * n // 8192)), *order).sortWithinPartitions(*order)
+    return dealt.select("label", (F.col("bytes") * orders + F.col("t")).alias("run"), "cid", "code").mapInArrow(meet, _FOUND)
 
 
 def _merge(k: int, may: int):
@@ -332,9 +331,10 @@ def audit(nodes: DataFrame, links: DataFrame, full: DataFrame, threshold: float)
 def near_pivots(nodes: DataFrame, full: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The saturated nodes' groups as `exact_search` takes them: of each pivot its own nodes, which ask, and all that may link with one of them."""
     group = ["label", "bytes"]
-    inner = full.select("cid", F.explode("nbrs").alias("v")).join(full.select(F.col("cid").alias("v")), "v", "left_semi").groupBy("cid").agg(F.min("v").alias("v"))
-    known = components(inner.select(F.col("cid").alias("a"), F.col("v").alias("b")), scratch)
-    pivot_of = scratch.save(full.select("cid").join(known, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("component", "cid").alias("g")))
+    # a node's pivot is the least of its list's least node's list; any grouping is right, this one gathers near nodes
+    first = full.select("cid", F.least("cid", F.array_min("nbrs")).alias("g"))
+    second = first.select(F.col("cid").alias("g"), F.col("g").alias("h"))
+    pivot_of = scratch.save(first.join(second, "g", "left").select("cid", F.coalesce("h", "g").alias("g")))
     asked = nodes.join(pivot_of, "cid")
     pivots = nodes.join(pivot_of.select(F.col("g").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("g"), F.col("vec").alias("p"))
 
@@ -447,7 +447,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, k: int = 12, ro
     failed = links = full = None
     for attempt in range(ATTEMPTS):
         for turn in range(rounds):
-            if (state.agg(F.sum("news")).first()[0] or 0) <= 0.001 * n * k:
+            if (state.agg(F.sum("news")).first()[0] or 0) <= 0.003 * n * k:
                 break
             now = scratch.save(merged(state, descend(state, parts, rounds * attempt + turn), parts, k, may))
             scratch.drop(state)
