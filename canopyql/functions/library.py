@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -54,23 +55,20 @@ register("exists", 1)(lambda c, a, env: V("boolean", count(a[0]) > 0))
 register("count", 1)(lambda c, a, env: V("integer", count(a[0]).cast("long")))
 
 
-def _reshape(v: V, f) -> V:
+def _reshape(c, v: V, f) -> V:
     """Applies an array function to the items or nodes of a sequence."""
     if v.t == "empty":
         return v
     if v.segs is not None:
-        return V("node", None, True, segs=[Seg(s.chain, s.leaf, f(s.col if v.many else listed(s.col))) for s in v.segs])
+        if len(v.segs) > 1:
+            return c.reshaped(v, f)
+        return V("node", None, True, segs=[replace(s, col=f(s.col if v.many else listed(s.col))) for s in v.segs])
     return V(v.t, f(arr(v)), True, elem=v.elem)
 
 
-def _single_place(c, v: V) -> V:
-    """Nodes of several places of the model lose their nodes where positions count: their values go on."""
-    return c.atoms(v) if v.segs is not None and len(v.segs) > 1 else v
-
-
-register("head", 1)(lambda c, a, env: _reshape(_single_place(c, a[0]), lambda x: F.slice(x, 1, 1)))
-register("tail", 1)(lambda c, a, env: _reshape(_single_place(c, a[0]), lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))))
-register("reverse", 1)(lambda c, a, env: _reshape(_single_place(c, a[0]), F.reverse))
+register("head", 1)(lambda c, a, env: _reshape(c, a[0], lambda x: F.slice(x, 1, 1)))
+register("tail", 1)(lambda c, a, env: _reshape(c, a[0], lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1)))))
+register("reverse", 1)(lambda c, a, env: _reshape(c, a[0], F.reverse))
 register("unordered", 1)(lambda c, a, env: a[0])
 register("position", 0)(lambda c, a, env: V("integer", (env.pos if env.pos is not None else F.lit(1)).cast("long")))
 register("last", 0)(lambda c, a, env: V("integer", (env.last if env.last is not None else F.lit(1)).cast("long")))
@@ -99,7 +97,7 @@ def _index_of(c, a, env):
 def _subsequence(c, a, env):
     start = F.greatest(F.coalesce(_long(c, a[1]), F.lit(1)), F.lit(1)).cast("int")
     length = F.greatest(_long(c, a[2]), F.lit(0)).cast("int") if len(a) > 2 else None
-    return _reshape(_single_place(c, a[0]), lambda x: F.slice(x, start, length if length is not None else F.greatest(F.size(x), F.lit(0))))
+    return _reshape(c, a[0], lambda x: F.slice(x, start, length if length is not None else F.greatest(F.size(x), F.lit(0))))
 
 
 @register("insert-before", 3)
@@ -114,7 +112,7 @@ def _insert(c, a, env):
 @register("remove", 2)
 def _remove(c, a, env):
     at = _long(c, a[1])
-    return _reshape(_single_place(c, a[0]), lambda x: F.filter(x, lambda y, i: (i + 1) != at))
+    return _reshape(c, a[0], lambda x: F.filter(x, lambda y, i: (i + 1) != at))
 
 
 def _sized(name: str, ok, says: str):
@@ -124,7 +122,7 @@ def _sized(name: str, ok, says: str):
         stop = lambda x: F.when(good, x).otherwise(F.raise_error(F.lit(says)))
         if a[0].t == "empty":
             return V("string", F.when(good, F.lit(None).cast("string")).otherwise(F.raise_error(F.lit(says))))
-        return _reshape(a[0], stop) if a[0].many or a[0].segs is not None else V(a[0].t, stop(a[0].col))
+        return _reshape(c, a[0], stop) if a[0].many or a[0].segs is not None else V(a[0].t, stop(a[0].col))
 
 
 _sized("zero-or-one", lambda n: n <= 1, "more than one item")
@@ -238,8 +236,19 @@ def _numbers(c, v: V) -> V:
 
 
 def _total(v: V) -> Column:
-    zero = F.lit(0).cast({"integer": "bigint", "decimal": "decimal(38,10)", "double": "double"}[v.t])
-    return F.aggregate(arr(v), zero, lambda s, x: (s + x).cast({"integer": "bigint", "decimal": "decimal(38,10)", "double": "double"}[v.t]))
+    """The sum, the same for every order of the items: doubles are added from the least on, with what rounding lost (Neumaier)."""
+    if v.t != "double":
+        kind = {"integer": "bigint", "decimal": "decimal(38,10)"}[v.t]
+        return F.aggregate(arr(v), F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("lost"))
+
+    def add(a: Column, x: Column) -> Column:
+        t = a["s"] + x
+        lost = F.when(F.abs(a["s"]) >= F.abs(x), (a["s"] - t) + x).otherwise((x - t) + a["s"])
+        return F.struct(t.alias("s"), (a["lost"] + lost).alias("lost"))
+
+    # infinities leave no number in what was lost
+    return F.aggregate(F.array_sort(arr(v)), start, add, lambda a: F.when(F.isnan(a["lost"]), a["s"]).otherwise(a["s"] + a["lost"]))
 
 
 @register("sum", 1)
@@ -318,7 +327,7 @@ def _most(name: str, hides):
         v = _node(c, a, env)
         if v.t == "empty":
             return v
-        v = c.sorted(_reshape(v, lambda x: x))
+        v = c.sorted(replace(v, segs=[replace(s, col=s.col if v.many else listed(s.col)) for s in v.segs], many=True))
         keys = _keys(v)
         return V("node", None, True, segs=[Seg(s.chain, s.leaf, let(keys, lambda all_keys: F.filter(s.col, lambda x: ~F.exists(all_keys, lambda k: hides(k, x["k"]))))) for s in v.segs])
 

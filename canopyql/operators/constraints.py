@@ -1,7 +1,8 @@
 """Declarative constraints as set-oriented Spark jobs; every finding is a row.
 
 Each constraint is evaluated at every instance of its definition. Its target is a path compiled once; targets are exploded to rows (document,
-context node, position, value), and the rule is a filter, an aggregate or an anti-join over them. Indexes hold across documents."""
+context node, position, value), and the rule is a filter, an aggregate or an anti-join over them. An index holds within its document, unless it is asked to hold
+across all of them. Findings carry the place of their node in the document (``at``), by which `ordered` sorts them."""
 
 from __future__ import annotations
 
@@ -14,7 +15,9 @@ from ..functions.datatypes import is_valid
 from ..plans.compiler import Env, member
 from ..plans.model import PathError, V, count, listed, one
 
-FINDINGS = "doc string, location string, severity string, constraint_id string, kind string, message string"
+FINDINGS = "doc string, location string, severity string, constraint_id string, kind string, message string, at array<int>"
+#: From the least to the most severe.
+LEVELS = ("DEBUG", "INFORMATIONAL", "WARNING", "ERROR", "CRITICAL")
 
 
 def _targets(docs: Documents, context: str, target: str, values: list[str] = ()) -> DataFrame:
@@ -47,7 +50,7 @@ def _value(c, own: V, expression: str, variables: dict) -> Column:
 
 def _found(rows: DataFrame, k: Constraint, message: Column | str, severity: str | None = None) -> DataFrame:
     m = F.lit(k.message) if k.message else (message if isinstance(message, Column) else F.lit(message))
-    return rows.select("doc", "location", F.lit(severity or k.level).alias("severity"), F.lit(k.id).cast("string").alias("constraint_id"), F.lit(k.kind).alias("kind"), m.alias("message"))
+    return rows.select("doc", "location", F.lit(severity or k.level).alias("severity"), F.lit(k.id).cast("string").alias("constraint_id"), F.lit(k.kind).alias("kind"), m.alias("message"), "at")
 
 
 def _keyed(docs: Documents, context: str, k: Constraint) -> DataFrame:
@@ -60,7 +63,7 @@ def _keyed(docs: Documents, context: str, k: Constraint) -> DataFrame:
     return rows.withColumn("key", F.struct(*(F.col(f"v{i}") for i in range(len(k.keys)))))
 
 
-def evaluate(docs: Documents, context: str, k: Constraint, indexes: dict[str, DataFrame]) -> DataFrame:
+def evaluate(docs: Documents, context: str, k: Constraint, indexes: dict[str, DataFrame], across: bool = False) -> DataFrame:
     """Findings of one constraint at the context nodes of a path."""
     none = docs.engine.spark.createDataFrame([], FINDINGS)
     if k.kind == "allowed-values":
@@ -95,7 +98,8 @@ def evaluate(docs: Documents, context: str, k: Constraint, indexes: dict[str, Da
         if k.name not in indexes:
             return _found(rows, k, f"Index '{k.name}' not found", "ERROR")
         asked = rows.filter(" and ".join(f"v{i} is not null" for i in range(len(k.keys))))
-        missing = asked.join(indexes[k.name].select("key").distinct(), "key", "left_anti")
+        by = ["key"] if across else ["doc", "key"]
+        missing = asked.join(indexes[k.name].select(*by).distinct(), by, "left_anti")
         return _found(missing, k, F.concat(F.lit(f"Key not found in index '{k.name}': "), F.to_json("key")))
     if k.kind == "is-unique":
         rows = _keyed(docs, context, k)
@@ -110,7 +114,7 @@ def evaluate(docs: Documents, context: str, k: Constraint, indexes: dict[str, Da
         for s in ctx.segs or []:
             nodes = docs.df.filter(F.col("doc").isNotNull()).select(doc.alias("__doc"), F.explode(s.col if ctx.many else listed(s.col)).alias("c")).withColumnRenamed("__doc", "doc")
             n = count(c.compile(k.target, Env(ctx=member(s, F.col("c")), vars=docs.engine.variables)))
-            rows = nodes.select("doc", F.lit("/" + "/".join(x.name for x in s.chain)).alias("location"), n.alias("n"))
+            rows = nodes.select("doc", F.lit("/" + "/".join(x.name for x in s.chain)).alias("location"), n.alias("n"), F.col("c.k").alias("at"))
             if k.least is not None:
                 out = out.unionByName(_found(rows.filter(F.col("n") < k.least), k, F.concat(F.lit(f"At least {k.least} expected, found "), F.col("n").cast("string"))))
             if k.most is not None:
@@ -119,12 +123,12 @@ def evaluate(docs: Documents, context: str, k: Constraint, indexes: dict[str, Da
     raise ValueError(f"unknown constraint {k.kind}")
 
 
-def validate(docs: Documents, constraints: list[tuple[str, Constraint]]) -> DataFrame:
-    """Findings of all constraints, each with the path of its context nodes; indexes are built first."""
+def validate(docs: Documents, constraints: list[tuple[str, Constraint]], across: bool = False) -> DataFrame:
+    """Findings of all constraints, each with the path of its context nodes; indexes are built first. across: keys of one document satisfy another's."""
     indexes = {k.name: _keyed(docs, path, k) for path, k in constraints if k.kind == "index"}
     out = docs.engine.spark.createDataFrame([], FINDINGS)
     for path, k in constraints:
-        out = out.unionByName(evaluate(docs, path, k, indexes))
+        out = out.unionByName(evaluate(docs, path, k, indexes, across))
     return out
 
 
@@ -154,7 +158,7 @@ def type_findings(docs: Documents, module, root: str) -> DataFrame:
         nonlocal out
         bad = rows.filter(value.isNotNull() & ~F.coalesce(is_valid(name, value), F.lit(False)))
         m = F.concat(F.lit("Value '"), value, F.lit(f"' is not a {name}"))
-        out = out.unionByName(bad.select(F.col("path").alias("doc"), F.lit(location).alias("location"), F.lit("ERROR").alias("severity"), F.lit(None).cast("string").alias("constraint_id"), F.lit("type-check").alias("kind"), m.alias("message")))
+        out = out.unionByName(bad.select(F.col("path").alias("doc"), F.lit(location).alias("location"), F.lit("ERROR").alias("severity"), F.lit(None).cast("string").alias("constraint_id"), F.lit("type-check").alias("kind"), m.alias("message"), F.lit(None).cast("array<int>").alias("at")))
 
     def walk(d, rows: DataFrame, location: str) -> None:
         from ..catalog.generate import raw_name
@@ -177,9 +181,25 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("severity").count()
 
 
-def is_valid_set(findings: DataFrame) -> bool:
-    """No critical and no error finding."""
-    return findings.filter(F.col("severity").isin("CRITICAL", "ERROR")).limit(1).count() == 0
+def at_or_above(findings: DataFrame, level: str) -> DataFrame:
+    """The findings of a severity or a greater one."""
+    return findings.filter(F.col("severity").isin(*LEVELS[LEVELS.index(level) :]))
+
+
+def merged(*results: DataFrame) -> DataFrame:
+    """Several results as one."""
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
+
 
+def ordered(findings: DataFrame) -> DataFrame:
+    """By document, then in the order of its nodes, then by severity from the greatest."""
+    rank = F.array_position(F.lit(list(LEVELS)), F.col("severity"))
+    return findings.orderBy("doc", F.asc_nulls_last("at"), rank.desc(), "kind", "message")
 
 
+def is_valid_set(findings: DataFrame) -> bool:
+    """No critical and no error finding."""
+    return not at_or_above(findings, "ERROR").limit(1).count()

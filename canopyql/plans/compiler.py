@@ -112,6 +112,24 @@ def axis(s: Seg, x: Column, name: str, test: tuple) -> list[Seg]:
     return [Seg(g.chain, g.leaf, F.reverse(F.filter(g.col, lambda y: (y["k"] < x["k"]) & (F.slice(x["k"], 1, F.size(y["k"])) != y["k"])))) for g in found]
 
 
+def ordinal(*parts: Column) -> Column:
+    return F.array(*(p.cast("int") for p in parts))
+
+
+def backwards(x: Column, i: Column) -> Column:
+    """A key of reverse document order, in which what lies within a node comes before it."""
+    return F.concat(F.transform(x["k"], lambda e: -e), ordinal(F.lit(2**31 - 1)))
+
+
+def calls(e: object, *names: str) -> bool:
+    """Whether a tree calls or names one of the functions."""
+    if isinstance(e, (tuple, list)):
+        if len(e) > 1 and e[0] in ("call", "ref") and isinstance(e[1], str) and e[1].rpartition(":")[2] in names:
+            return True
+        return any(calls(x, *names) for x in e)
+    return False
+
+
 def _probe() -> Column:
     return F.col("__probe")
 
@@ -144,8 +162,10 @@ class Compiler:
         if len(parts) == 1:
             _, s, get = parts[0]
             return V(t, F.filter(F.transform(s.col, lambda x: get(x)), lambda y: y.isNotNull()), True)
-        both = F.concat(*(F.transform(s.col, lambda x: F.struct(x["k"].alias("k"), (get(x) if t == u else text(u, get(x))).cast(DDL[t]).alias("v"))) for u, s, get in parts))
-        return V(t, F.filter(F.transform(F.array_sort(both), lambda y: y["v"]), lambda y: y.isNotNull()), True)
+        by = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["i"] - b["i"])
+        cell = lambda n, u, s, get: lambda x, i: F.struct(s.order(x, i).alias("k"), F.lit(n).alias("s"), i.alias("i"), (get(x) if t == u else text(u, get(x))).cast(DDL[t]).alias("v"))
+        both = F.concat(*(F.transform(s.col, cell(n, u, s, get)) for n, (u, s, get) in enumerate(parts)))
+        return V(t, F.filter(F.transform(F.array_sort(both, by), lambda y: y["v"]), lambda y: y.isNotNull()), True)
 
     def ebv(self, v: V) -> Column:
         """Effective boolean value, never NULL."""
@@ -183,7 +203,9 @@ class Compiler:
         if len(parts) == 1:
             return parts[0]
         if all(p.segs is not None for p in parts):
-            return V("node", None, True, segs=[replace(s, col=s.col if p.many else listed(s.col)) for p in parts for s in p.segs])
+            # the parts one after the other; a part of one place in the order of its array
+            key = lambda n, p, s: (lambda x, i: F.concat(ordinal(F.lit(n)), s.order(x, i)) if len(p.segs) > 1 else ordinal(F.lit(n), i))
+            return V("node", None, True, segs=[replace(s, col=s.col if p.many else listed(s.col), key=key(n, p, s)) for n, p in enumerate(parts) for s in p.segs])
         parts = [self.atoms(p) for p in parts]
         parts = [p for p in parts if p.t != "empty"] or [EMPTY]
         kinds = {p.t for p in parts}
@@ -198,24 +220,88 @@ class Compiler:
         f = (lambda c: text(v.t, c)) if t == "string" else (lambda c: c.cast(DDL[t]))
         return V(t, F.transform(v.col, f), True) if v.many else V(t, f(v.col))
 
-    def over(self, v: V, body, n: int | None = None) -> V:
-        """Evaluates body(item, position, last) for each item and puts the results together."""
+    def merged(self, v: V, f) -> Column:
+        """f(nodes, tags): tags (k, s, i) are the places of all nodes in order, nodes(s, i) is the node at a place. All is evaluated once."""
+        cols = F.struct(*((s.col if v.many else listed(s.col)).alias(f"s{n}") for n, s in enumerate(v.segs)))
+        tag = lambda n, s: lambda x, i: F.struct(s.order(x, i).alias("k"), F.lit(n).alias("s"), i.alias("i"))
+
+        def bound(c: Column) -> Column:
+            tags = F.concat(*(F.transform(c[f"s{n}"], tag(n, s)) for n, s in enumerate(v.segs)))
+            return let(F.array_sort(tags), lambda t: f(lambda n, i: F.get(c[f"s{n}"], i), t))
+
+        return let(cols, bound)
+
+    def reshaped(self, v: V, f) -> V:
+        """The nodes of several places whose tags f returns, in the order of f's array."""
+
+        def of(n: int) -> Column:
+            pick = lambda nodes, tags: F.filter(F.transform(f(tags), lambda t, i: F.when(t["s"] == n, nodes(n, t["i"]).withField("o", ordinal(i)))), lambda x: x.isNotNull())
+            return self.merged(v, pick)
+
+        return V("node", None, True, segs=[Seg(s.chain, s.leaf, of(n), lambda x, i: x["o"]) for n, s in enumerate(v.segs)])
+
+    def over(self, v: V, body, path: bool = False) -> V:
+        """Evaluates body(item, position, last) for each item, in order, and puts the results together.
+
+        path: the results are nodes whose order doesn't matter, since a path sorts them."""
         if v.t == "empty":
             return EMPTY
         v = v if v.many or v.segs is not None else V(v.t, listed(v.col), True, elem=v.elem)
-        sources = [(s, s.col if v.many else listed(s.col)) for s in v.segs] if v.segs is not None else [(None, v.col)]
-        out = []
-        for s, col in sources:
-            item = (lambda x, s=s: member(s, x)) if s else (lambda x: V(v.t, x, elem=v.elem))
-            shape = body(item(_probe()), F.lit(1), F.lit(1))
-            if shape.t == "empty":
-                continue
-            each = lambda get, col=col, item=item: F.flatten(F.transform(col, lambda x, i: get(body(item(x), (i + 1).cast("long"), F.size(col).cast("long")))))
-            if shape.segs is not None:
-                out.append(V("node", None, True, segs=[Seg(g.chain, g.leaf, each(lambda r, n=n: r.segs[n].col if r.many else listed(r.segs[n].col))) for n, g in enumerate(shape.segs)]))
-            else:
-                out.append(V(shape.t, each(arr), True, elem=shape.elem))
-        return self.join(out) if out else EMPTY
+        if v.segs is not None and len(v.segs) > 1:
+            return self.over_places(v, body)
+        s = v.segs[0] if v.segs is not None else None
+        col = (s.col if v.many else listed(s.col)) if s else v.col
+        item = (lambda x: member(s, x)) if s else (lambda x: V(v.t, x, elem=v.elem))
+        shape = body(item(_probe()), F.lit(1), F.lit(1))
+        if shape.t == "empty":
+            return EMPTY
+        each = lambda get: F.flatten(F.transform(col, lambda x, i: get(body(item(x), (i + 1).cast("long"), F.size(col).cast("long")), i)))
+        if shape.segs is None:
+            return V(shape.t, each(lambda r, i: arr(r)), True, elem=shape.elem)
+        listing = lambda r, n: r.segs[n].col if r.many else listed(r.segs[n].col)
+        if path or len(shape.segs) == 1:
+            return V("node", None, True, segs=[Seg(g.chain, g.leaf, each(lambda r, i, n=n: listing(r, n))) for n, g in enumerate(shape.segs)])
+        return V("node", None, True, segs=[Seg(g.chain, g.leaf, each(lambda r, i, n=n: self.placed(r.segs[n], listing(r, n), i)), lambda x, i: x["o"]) for n, g in enumerate(shape.segs)])
+
+    @staticmethod
+    def placed(s: Seg, col: Column, turn: Column, alone: bool = False) -> Column:
+        """Nodes that remember in which turn, and where in it, they came."""
+        return F.transform(col, lambda y, j: y.withField("o", ordinal(turn, j) if alone else F.concat(ordinal(turn), s.order(y, j))))
+
+    def over_places(self, v: V, body) -> V:
+        """`over` for nodes of several places of the model: all of them in one order, each with its own body."""
+        shapes = [body(member(s, _probe()), F.lit(1), F.lit(1)) for s in v.segs]
+        some = [x for x in shapes if x.t != "empty"]
+        if not some:
+            return EMPTY
+        run = lambda n, nodes, t, i, tags: body(member(v.segs[n], nodes(n, t["i"])), (i + 1).cast("long"), F.size(tags).cast("long"))
+        if all(x.segs is not None for x in some):
+            out = []
+            for n, shape in enumerate(shapes):
+                for m, g in enumerate(shape.segs or []):
+                    listing = lambda r, i, m=m: self.placed(r.segs[m], r.segs[m].col if r.many else listed(r.segs[m].col), i, len(r.segs) == 1)
+                    turns = lambda nodes, tags, n=n, listing=listing: F.flatten(F.filter(F.transform(tags, lambda t, i: F.when(t["s"] == n, listing(run(n, nodes, t, i, tags), i))), lambda x: x.isNotNull()))
+                    out.append(Seg(g.chain, g.leaf, self.merged(v, turns), lambda x, i: x["o"]))
+            return V("node", None, True, segs=out)
+        kinds = {self.atoms(x).t for x in some} - {"empty"}
+        t = (kinds.copy().pop() if len(kinds) == 1 else next((k for k in ("double", "decimal") if k in kinds), "integer") if kinds <= set(NUMERIC) else "string") if kinds else "string"
+
+        def values(r: V) -> Column:
+            r = self.atoms(r)
+            return none_of(t) if r.t == "empty" else arr(r if r.t == t else self.cast_all(r, t))
+
+        def each(nodes, tags: Column) -> Column:
+            def turn(x: Column, i: Column) -> Column:
+                pick = None
+                for n, shape in enumerate(shapes):
+                    if shape.t != "empty":
+                        found = values(run(n, nodes, x, i, tags))
+                        pick = F.when(x["s"] == n, found) if pick is None else pick.when(x["s"] == n, found)
+                return pick.otherwise(none_of(t) if t in DDL else F.lit(None))
+
+            return F.flatten(F.transform(tags, turn))
+
+        return V(t, self.merged(v, each), True, elem=some[0].elem)
 
     def sorted(self, v: V) -> V:
         """Nodes in document order without duplicates; places of the model that coincide become one."""
@@ -272,32 +358,48 @@ class Compiler:
         segs = axis(s, s.col, name, test)
         if name.startswith("ancestor") and preds and preds[0][:2] == ("lit", "integer"):
             segs, preds = segs[preds[0][2] - 1 : preds[0][2]], preds[1:]
-        return self.filtered(V("node", None, True, segs=segs), preds, env) if segs else EMPTY
+        if not segs:
+            return EMPTY
+        back = backwards if name.startswith(("ancestor", "preceding", "parent")) else None
+        v = self.filtered(V("node", None, True, segs=[replace(g, key=back) for g in segs]), preds, env)
+        return v if v.t == "empty" else replace(v, segs=[replace(g, key=None) for g in v.segs])
 
     def filtered(self, v: V, preds: list[tuple], env: Env) -> V:
         for p in preds:
             if v.t == "empty":
                 return EMPTY
             if v.segs is not None:
-                if len(v.segs) > 1 and self.positional(p, member(v.segs[0], _probe()), env):
-                    raise PathError("a position among nodes of different definitions")
-                v = V("node", None, True, segs=[Seg(s.chain, s.leaf, self.keep(s.col if v.many else listed(s.col), lambda x, s=s: member(s, x), p, env)) for s in v.segs])
+                if len(v.segs) > 1 and any(self.positional(p, member(s, _probe()), env) for s in v.segs):
+                    v = self.filtered_places(v, p, env)
+                    continue
+                v = V("node", None, True, segs=[replace(s, col=self.keep(s.col if v.many else listed(s.col), lambda x, s=s: member(s, x), p, env)) for s in v.segs])
             else:
                 v = V(v.t, self.keep(arr(v), lambda x, v=v: V(v.t, x, elem=v.elem), p, env), True, elem=v.elem)
         return v
 
     def positional(self, p: tuple, item: V, env: Env) -> bool:
-        return "position" in str(p) or "last" in str(p) or self.c(p, replace(env, ctx=item, pos=F.lit(1), last=F.lit(1))).t in NUMERIC
+        return calls(p, "position", "last") or self.c(p, replace(env, ctx=item, pos=F.lit(1), last=F.lit(1))).t in NUMERIC
+
+    def test(self, p: tuple, item: V, at: Column, last: Column, env: Env) -> Column:
+        r = self.c(p, replace(env, ctx=item, pos=at, last=last))
+        return F.coalesce(at == one(r), F.lit(False)) if r.t in NUMERIC and not r.many else self.ebv(r)
 
     def keep(self, col: Column, item, p: tuple, env: Env) -> Column:
-        def test(x, i, size):
-            at = (i + 1).cast("long")
-            r = self.c(p, replace(env, ctx=item(x), pos=at, last=size))
-            return F.coalesce(at == one(r), F.lit(False)) if r.t in NUMERIC and not r.many else self.ebv(r)
+        if not calls(p, "last"):
+            return F.filter(col, lambda x, i: self.test(p, item(x), (i + 1).cast("long"), F.lit(1), env))
+        return let(col, lambda c: F.filter(c, lambda x, i: self.test(p, item(x), (i + 1).cast("long"), F.size(c).cast("long"), env)))
+
+    def filtered_places(self, v: V, p: tuple, env: Env) -> V:
+        """A predicate that counts positions among nodes of several places of the model."""
+
+        def of(n: int, s: Seg) -> Column:
+            fits = lambda nodes, tags: F.filter(
+                F.transform(tags, lambda t, i: F.when((t["s"] == n) & self.test(p, member(s, nodes(n, t["i"])), (i + 1).cast("long"), F.size(tags).cast("long"), env), nodes(n, t["i"]).withField("o", s.order(nodes(n, t["i"]), t["i"])))),
+                lambda x: x.isNotNull(),
+            )
+            return self.merged(v, fits)
 
-        if "'last'" not in str(p):
-            return F.filter(col, lambda x, i: test(x, i, F.lit(1)))
-        return let(col, lambda c: F.filter(c, lambda x, i: test(x, i, F.size(c).cast("long"))))
+        return V("node", None, True, segs=[Seg(s.chain, s.leaf, of(n, s), lambda x, i: x["o"]) for n, s in enumerate(v.segs)])
 
     def c_path(self, e, env):
         _, op, left, right = e
@@ -310,9 +412,10 @@ class Compiler:
             if right[0] == "step" and right[1] == "child" and not right[3]:
                 right = ("step", "descendant", right[2], right[3])
             else:
-                v = self.over(v, lambda x, i, n: self.c(("step", "descendant-or-self", ("kind", "node", None), []), replace(env, ctx=x)))
-        out = self.over(v, lambda x, i, n: self.c(right, replace(env, ctx=x, pos=i, last=n)))
-        simple = right[0] == "step" and right[1] in ("child", "flag", "self") or right[0] == "step" and right[1] == "descendant" and left[0] == "root"
+                v = self.sorted(self.over(v, lambda x, i, n: self.c(("step", "descendant-or-self", ("kind", "node", None), []), replace(env, ctx=x)), True))
+        out = self.over(v, lambda x, i, n: self.c(right, replace(env, ctx=x, pos=i, last=n)), True)
+        # one place, in order, without repeats
+        simple = out.segs is not None and len(v.segs) == 1 and right[0] == "step" and (right[1] in ("child", "flag", "self") or right[1] == "descendant" and left[0] == "root")
         return out if out.segs is None or simple else self.sorted(out)
 
     def c_map(self, e, env):
@@ -354,7 +457,7 @@ class Compiler:
         test, a, b = self.ebv(self.c(e[1], env)), self.c(e[2], env), self.c(e[3], env)
         if a.segs is not None and b.segs is not None or a.segs is not None and b.t == "empty" or b.segs is not None and a.t == "empty":
             pick = lambda v, c: [replace(s, col=F.filter(s.col if v.many else listed(s.col), lambda x: c)) for s in v.segs or []]
-            return V("node", None, True, segs=pick(a, test) + pick(b, ~test))
+            return V("node", None, True, segs=pick(a, test) + pick(b, ~test))  # one of them is empty
         a, b = self.atoms(a), self.atoms(b)
         if a.t == b.t == "empty":
             return EMPTY
@@ -455,7 +558,7 @@ class Compiler:
         if a.segs is not None and b.segs is not None:
             keys = F.concat(*(F.transform(s.col if b.many else listed(s.col), lambda x: x["k"]) for s in b.segs))
             test = lambda x: F.exists(keys, lambda k: k == x["k"])
-            return V("node", None, True, segs=[replace(s, col=F.filter(s.col if a.many else listed(s.col), lambda x: test(x) if keep else ~test(x))) for s in a.segs])
+            return self.sorted(V("node", None, True, segs=[Seg(s.chain, s.leaf, F.filter(s.col if a.many else listed(s.col), lambda x: test(x) if keep else ~test(x))) for s in a.segs]))
         a, right = self.atoms(a), arr(self.strings(b))
         test = lambda x: F.array_contains(right, text(a.t, x))
         return V(a.t, F.filter(arr(a), lambda x: test(x) if keep else ~test(x)), True)

@@ -34,11 +34,17 @@ class Child:
 
 @dataclass
 class Seg:
-    """Nodes of one place in the model: an array of structs (k: document order, n0..nd: the path of values, v: of a flag)."""
+    """Nodes of one place in the model: an array of structs (k: document order, n0..nd: the path of values, v: of a flag).
+
+    Nodes of several places stand in the order of `key`(node, place in the array), an array of integers; without one, in document order."""
 
     chain: list[NodeType]
     leaf: tuple[str, str] | None  # (flag name, item type)
     col: Column
+    key: object = None
+
+    def order(self, x: Column, i: Column) -> Column:
+        return self.key(x, i) if self.key else x["k"]
 
     @property
     def name(self) -> str:

@@ -63,6 +63,21 @@ path_query("simple_map", "C", "turn ! string-length(.)", "SELECT conv_id, row_nu
 path_query("range_sequence", "C", "for $i in 1 to count(turn) return $i * 2", "SELECT conv_id, pos, pos * 2 AS value FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)")
 path_query("single_child_step", "E", "props/@k", "SELECT event_id, CAST(1 AS BIGINT) AS pos, CAST(json_extract(props, '$.k') AS BIGINT) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 
+# nodes of several places of the model, in one order
+_MIXED = f"SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, name = 'line', {_ROW}) AS pos, count(*) OVER (PARTITION BY o_custkey) AS m, * FROM (SELECT o_custkey, o_orderkey, o_orderstatus, 'order' AS name, NULL AS l_orderkey, NULL AS l_linenumber, NULL AS l_partkey, NULL AS l_suppkey, NULL AS l_quantity, NULL AS l_extendedprice, NULL AS l_discount, NULL AS l_tax, NULL AS l_returnflag, NULL AS l_linestatus, NULL AS l_shipdate FROM orders UNION ALL SELECT o_custkey, o_orderkey, NULL, 'line', l_orderkey, {_ROW} FROM {_LINES})"
+path_query("mixed_map", "T", "(order | order/line) ! name(.)", f"SELECT c AS c_custkey, pos, name AS value FROM ({_MIXED})")
+path_query("mixed_for", "T", "for $n in (order | order/line) return concat(name($n), $n/@partkey)", f"SELECT c AS c_custkey, pos, name || coalesce(CAST(l_partkey AS VARCHAR), '') AS value FROM ({_MIXED})")
+path_query("mixed_position", "T", "(order | order/line) ! (position() * 1000 + last())", f"SELECT c AS c_custkey, pos, pos * 1000 + m AS value FROM ({_MIXED})")
+path_query("mixed_second", "T", "(order | order/line)[2]/name(.)", f"SELECT c AS c_custkey, CAST(1 AS BIGINT) AS pos, name AS value FROM ({_MIXED}) WHERE pos = 2")
+path_query("mixed_last", "T", "(order | order/line)[position() > last() - 2] ! name(.)", f"SELECT c AS c_custkey, row_number() OVER (PARTITION BY c ORDER BY pos) AS pos, name AS value FROM ({_MIXED}) WHERE pos > m - 2")
+path_query("mixed_filter", "T", "(order | order/line)[@returnflag = 'R' or @orderstatus = 'F'] ! name(.)", f"SELECT c AS c_custkey, row_number() OVER (PARTITION BY c ORDER BY pos) AS pos, name AS value FROM ({_MIXED}) WHERE l_returnflag = 'R' OR o_orderstatus = 'F'")
+path_query("mixed_none", "T", "count((order | order/line)[@lastname])", "SELECT c_custkey, CAST(0 AS BIGINT) AS value FROM customer", "single")
+path_query("mixed_reverse", "T", "reverse((order | order/line)) ! name(.)", f"SELECT c AS c_custkey, m - pos + 1 AS pos, name AS value FROM ({_MIXED})")
+path_query("mixed_tail", "T", "string-join(tail((order | order/line)) ! name(.), '')", f"SELECT c_custkey, coalesce(string_agg(name, '' ORDER BY pos) FILTER (WHERE pos > 1), '') AS value FROM customer LEFT JOIN ({_MIXED}) ON c = c_custkey GROUP BY c_custkey", "single")
+path_query("comma_order", "T", "(order/line, order) ! name(.)", f"SELECT c AS c_custkey, row_number() OVER (PARTITION BY c ORDER BY name, pos) AS pos, name AS value FROM ({_MIXED})")
+path_query("nested_union", "T", "for $o in order return ($o/line | $o) ! name(.)", f"SELECT c AS c_custkey, pos, name AS value FROM ({_MIXED})")
+path_query("wildcard_second", "T", "//*[2]/name(.)", f"SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey, k) AS pos, name AS value FROM (SELECT o_custkey AS c_custkey, o_orderkey, 1 AS k, 'order' AS name FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE n = 2 UNION ALL SELECT o_custkey, o_orderkey, 2, 'line' FROM {_LINES} GROUP BY o_custkey, o_orderkey HAVING count(*) > 1)")
+
 # filters
 path_query("pred_filter", "T", "order[@orderstatus = 'F']/@orderkey", "SELECT o_custkey AS c_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey AS value FROM orders WHERE o_orderstatus = 'F'")
 path_query("pred_chain", "T", "order[@orderstatus = 'F'][2]/@orderkey", "SELECT o_custkey AS c_custkey, CAST(1 AS BIGINT) AS pos, o_orderkey AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') WHERE n = 2")
@@ -90,7 +105,7 @@ path_query("inline_function", "O", "let $f := function($x) { $x * 2 } return $f(
 # aggregation
 for _n, _e, _s in (("count", "count(line)", "count(l_orderkey)"), ("sum", "sum(line/@quantity)", "coalesce(sum(l_quantity), 0)"), ("avg", "avg(line/@quantity)", "avg(l_quantity)"), ("min", "min(line/@extendedprice)", "min(l_extendedprice)"), ("max", "max(line/@extendedprice)", "max(l_extendedprice)")):
     path_query(f"order_{_n}", "O", _e, f"SELECT o_orderkey, {_s} AS value FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey", "single")
-path_query("agg_sum", "T", "round(sum(order/line/@extendedprice))", f"SELECT c_custkey, round_even(coalesce(sum(l_extendedprice), 0), 0) AS value FROM customer LEFT JOIN ({_LINES}) ON o_custkey = c_custkey GROUP BY c_custkey", "single", "double")
+path_query("agg_sum", "T", "round(sum(order/line/@extendedprice))", f"SELECT c_custkey, round_even(CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18, 4))), 0) AS DOUBLE), 0) AS value FROM customer LEFT JOIN ({_LINES}) ON o_custkey = c_custkey GROUP BY c_custkey", "single", "double")
 
 # sequences
 _TURNS = "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations"
@@ -113,7 +128,7 @@ path_query("node_names", "C", "concat(name(turn[1]), local-name(.), namespace-ur
 
 # scalars: strings
 _TEXT, _TX = {"t": ("string", "text")}, "FROM documents"
-row_query("str_basic", "documents", ["doc_id"], {"n": ("string-length($t)", _TEXT, "bigint"), "up": ("upper-case(substring($t, 1, 20))", _TEXT, None), "low": ("lower-case(substring($t, 5))", _TEXT, None)}, f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n, replace(upper(substr(text, 1, 20)), chr(7838), 'SS') AS up, lower(substr(text, 5)) AS low {_TX}")
+row_query("str_basic", "documents", ["doc_id"], {"n": ("string-length($t)", _TEXT, "bigint"), "up": ("upper-case($t)", _TEXT, None), "low": ("lower-case(substring($t, 5))", _TEXT, None)}, f"SELECT doc_id, CAST(length(text) AS BIGINT) AS n, replace(upper(text), chr(7838), 'SS') AS up, lower(substr(text, 5)) AS low {_TX}")
 row_query("str_tests", "documents", ["doc_id"], {"a": ("contains($t, 'the')", _TEXT, None), "b": ("starts-with($t, 'The')", _TEXT, None), "c": ("ends-with($t, '.')", _TEXT, None), "d": ("compare($t, 'M')", _TEXT, "bigint")}, f"SELECT doc_id, contains(text, 'the') AS a, starts_with(text, 'The') AS b, ends_with(text, '.') AS c, CAST(CASE WHEN text < 'M' THEN -1 WHEN text > 'M' THEN 1 ELSE 0 END AS BIGINT) AS d {_TX}")
 row_query("str_around", "part", ["p_partkey"], {"a": ("substring-before($b, '#')", {"b": ("string", "p_brand")}, None), "b": ("substring-after($b, '#')", {"b": ("string", "p_brand")}, None), "c": ("translate($b, 'Brand', 'bRA')", {"b": ("string", "p_brand")}, None), "d": ("normalize-space(concat('  ', $b, '   x '))", {"b": ("string", "p_brand")}, None)}, "SELECT p_partkey, split_part(p_brand, '#', 1) AS a, split_part(p_brand, '#', 2) AS b, translate(p_brand, 'Brand', 'bRA') AS c, p_brand || ' x' AS d FROM part")
 row_query("str_join", "part", ["p_partkey"], {"a": ("string-join(($a, $b, 'x'), '-')", {"a": ("string", "p_brand"), "b": ("integer", "cast(p_size as bigint)")}, None), "b": ("$a || '/' || $b", {"a": ("string", "p_brand"), "b": ("integer", "cast(p_size as bigint)")}, None)}, "SELECT p_partkey, p_brand || '-' || p_size || '-x' AS a, p_brand || '/' || p_size AS b FROM part")
@@ -139,6 +154,30 @@ row_query("date_tz", "orders", ["o_orderkey"], {"a": ("hours-from-duration(timez
 _U = {"u": ("dayTimeDuration", "cast(l_partkey * 1000000 + 500000 as bigint)"), "v": ("duration", "struct(cast(l_linenumber * 5 as int) as months, cast(0 as bigint) as us)")}
 row_query("duration_parts", "lineitem", ["l_orderkey", "l_partkey", "l_linenumber"], {"d": ("days-from-duration($u)", _U, None), "h": ("hours-from-duration($u)", _U, None), "m": ("minutes-from-duration($u)", _U, None), "s": ("seconds-from-duration($u)", _U, "double"), "y": ("years-from-duration($v)", _U, None), "mo": ("months-from-duration($v)", _U, None)}, "SELECT l_orderkey, l_partkey, l_linenumber, CAST(l_partkey // 86400 AS BIGINT) AS d, CAST(l_partkey // 3600 % 24 AS BIGINT) AS h, CAST(l_partkey // 60 % 60 AS BIGINT) AS m, CAST(l_partkey % 60 + 0.5 AS DOUBLE) AS s, CAST(l_linenumber * 5 // 12 AS BIGINT) AS y, CAST(l_linenumber * 5 % 12 AS BIGINT) AS mo FROM lineitem")
 
+_Z = {"t": ("dateTime", "struct(cast(o_orderdate as timestamp_ntz) as ts, cast(o_custkey % 5 * 60 - 120 as int) as tz)"), "w": ("time", "struct(cast(o_orderkey % 86400 * 1000000 + 250000 as bigint) as us, cast(90 as int) as tz)"), "d": ("date", "struct(cast(o_orderdate as date) as d, 60 as tz)")}
+row_query("time_parts", "orders", ["o_orderkey"], {"dd": ("day-from-dateTime($t)", _Z, None), "mo": ("month-from-dateTime($t)", _Z, None), "yd": ("year-from-date($d)", _Z, None), "h": ("hours-from-time($w)", _Z, None), "mi": ("minutes-from-time($w)", _Z, None), "s": ("seconds-from-time($w)", _Z, "double"), "zt": ("hours-from-duration(timezone-from-dateTime($t))", _Z, None), "zw": ("minutes-from-duration(timezone-from-time($w))", _Z, None)}, "SELECT o_orderkey, day(o_orderdate) AS dd, month(o_orderdate) AS mo, year(o_orderdate) AS yd, CAST(o_orderkey % 86400 // 3600 AS BIGINT) AS h, CAST(o_orderkey % 3600 // 60 AS BIGINT) AS mi, o_orderkey % 60 + 0.25::DOUBLE AS s, CAST(o_custkey % 5 - 2 AS BIGINT) AS zt, CAST(30 AS BIGINT) AS zw FROM orders")
+row_query("adjust_zones", "orders", ["o_orderkey"], {"a": ("string(adjust-dateTime-to-timezone($t, xs:dayTimeDuration('PT1H')))", _Z, None), "b": ("string(adjust-time-to-timezone($w, xs:dayTimeDuration('PT0S')))", _Z, None), "c": ("string(timezone-from-time($w))", _Z, None)}, "SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP) + (60 - (o_custkey % 5 * 60 - 120)) * INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S') || '+01:00' AS a, strftime(TIMESTAMP '2000-01-01' + (o_orderkey % 86400) * INTERVAL 1 SECOND, '%H:%M:%S') || '.25Z' AS b, 'PT1H30M' AS c FROM orders")
+row_query("clock", "nation", ["n_nationkey"], {"a": ("current-dateTime() ge dateTime(current-date(), xs:time('00:00:00'))", {}, None), "b": ("year-from-date(current-date()) = year-from-dateTime(current-dateTime())", {}, None), "c": ("hours-from-time(current-time()) < 24", {}, None), "d": ("implicit-timezone() = timezone-from-dateTime(current-dateTime())", {}, None)}, "SELECT n_nationkey, true AS a, true AS b, true AS c, true AS d FROM nation")
+_NAME = {"n": ("string", "n_name"), "k": ("integer", "cast(n_nationkey as bigint)")}
+row_query("booleans", "nation", ["n_nationkey"], {"a": ("($k > 12) = true()", _NAME, None), "b": ("($k > 12) = false()", _NAME, None), "c": ("boolean($k)", _NAME, None), "d": ("exists($n[. = 'CHINA'])", _NAME, None), "e": ("not(data($k) = $k)", _NAME, None), "f": ("count(unordered(($k, $n)))", _NAME, "bigint")}, "SELECT n_nationkey, n_nationkey > 12 AS a, NOT n_nationkey > 12 AS b, n_nationkey <> 0 AS c, n_name = 'CHINA' AS d, false AS e, CAST(2 AS BIGINT) AS f FROM nation")
+row_query("qnames", "nation", ["n_nationkey"], {"a": ("local-name-from-QName(QName('urn:x', concat('p:', $n)))", _NAME, None), "b": ("prefix-from-QName(QName('urn:x', concat('q', $k, ':', $n)))", _NAME, None), "c": ("namespace-uri-from-QName(QName(concat('urn:', $k), $n))", _NAME, None)}, "SELECT n_nationkey, n_name AS a, 'q' || n_nationkey AS b, 'urn:' || n_nationkey AS c FROM nation")
+row_query("uri_resolve", "part", ["p_partkey"], {"a": ("resolve-uri(concat('x', $n, '/y'), concat('http://h/', $n, '/z'))", _P, None)}, "SELECT p_partkey, 'http://h/' || p_size || '/x' || p_size || '/y' AS a FROM part")
+
+
+def document_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by their URI: the catalogue holds orders, and doc() finds the one that a row names."""
+    eng = Engine(spark)
+    eng.base_uri = "http://shop/"
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    eng.documents = ["http://shop/1", "http://shop/2", "http://shop/3"]
+    key = F.concat(F.lit("http://shop/"), F.col("o_orderkey").cast("string"))
+    get = lambda e: eng.value(e, u=("string", key)).col
+    return o.select("o_orderkey", get("doc-available($u)").alias("there"), get("string(static-base-uri())").alias("base"))
+
+
+QUERIES["uri_documents"] = document_query
+ORACLES["uri_documents"] = "SELECT o_orderkey, o_orderkey IN (1, 2, 3) AS there, 'http://shop/' AS base FROM orders"
+
 # arrays and maps
 
 
@@ -150,13 +189,13 @@ def array_query(name: str, expression: str, sql: str) -> None:
         c = eng.compiler()
         from .plans.compiler import Env
 
-        a = F.expr("transform(slice(embedding, 1, 6), x -> cast(round(x * 1000) as bigint))")
+        a = F.expr("transform(embedding, x -> cast(round(x * 1000) as bigint))")
         v = c.compile(expression, Env(vars={"a": V("array", a, elem="integer")}))
         col = v.col if v.t == "array" or v.many else F.array(v.col)
         return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.concat_ws(",", F.transform(col, lambda x: x.cast("string"))).alias("value"))
 
     QUERIES[name] = run
-    ORACLES[name] = f"SELECT vec_id, coalesce(array_to_string({sql}, ','), '') AS value FROM (SELECT vec_id, list_transform(embedding[1:6], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS a FROM embeddings)"
+    ORACLES[name] = f"SELECT vec_id, coalesce(array_to_string({sql}, ','), '') AS value FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS a FROM embeddings)"
 
 
 for _n, _e, _s in (
@@ -182,26 +221,38 @@ def map_query(name: str, expression: str, sql: str, cast: str = "string") -> Non
     ORACLES[name] = f"SELECT event_id, {sql} AS value FROM events"
 
 
-map_query("map_size", "map:size($m)", "CAST(2 AS BIGINT)", "bigint")
+map_query("map_size", "map:size(map:put($m, $m?type, 'x'))", "CAST(3 AS BIGINT) - (event_type IN ('type', 'user'))::BIGINT", "bigint")
 map_query("map_keys", "map:keys($m)", "'type,user'")
-map_query("map_contains", "map:contains($m, 'user')", "true", "boolean")
+map_query("map_contains", "map:contains(map:entry($m?type, 1), 'click')", "event_type = 'click'", "boolean")
 map_query("map_get", "map:get($m, 'type')", "event_type")
-map_query("map_put", "map:get(map:put($m, 'type', 'x'), 'type')", "'x'")
+map_query("map_put", "map:get(map:put($m, 'type', concat($m?user, 'x')), 'type')", "user_id || 'x'")
 map_query("map_entry", "map:get(map:entry('k', $m?user), 'k')", "CAST(user_id AS VARCHAR)")
-map_query("map_remove", "map:keys(map:remove($m, 'user'))", "'type'")
-map_query("map_merge", "map:get(map:merge(($m, map{'type': 'last'})), 'type')", "'last'")
+map_query("map_remove", "map:keys(map:remove(map:put($m, $m?type, 1), 'user'))", "CASE WHEN event_type < 'type' THEN event_type || ',type' ELSE 'type,' || event_type END")
+map_query("map_merge", "concat(map:get(map:merge(($m, map{'type': concat('last', $m?user)})), 'type'), map:merge(($m, map{'a': 'b'}))?user)", "'last' || user_id || user_id")
 map_query("map_lookup", "$m?user", "CAST(user_id AS VARCHAR)")
 
 # constraints
 
 
-def constraint_query(name: str, view: str, constraints, sql: str, extra=None) -> None:
+def _summary(findings: DataFrame) -> DataFrame:
+    from .operators.constraints import summary
+
+    return summary(findings).withColumnRenamed("count", "n")
+
+
+def _above(findings: DataFrame) -> DataFrame:
+    from .operators.constraints import at_or_above
+
+    return at_or_above(findings, "WARNING").select(F.col("doc").cast("long").alias("doc"), "kind", "severity")
+
+
+def constraint_query(name: str, view: str, constraints, sql: str, extra=None, across: bool = False) -> None:
     """Number of findings of each document that has one."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from .operators.constraints import validate
 
-        found = validate(_VIEWS[view](Engine(spark), sf_dir), constraints)
+        found = validate(_VIEWS[view](Engine(spark), sf_dir), constraints, across)
         return (extra or (lambda f: f.groupBy("doc").agg(F.count("*").alias("n"))))(found)
 
     QUERIES[name], ORACLES[name] = run, sql
@@ -220,13 +271,20 @@ constraint_query("c_expect", "O", [("line", _constraint("expect", test="@quantit
 constraint_query("c_card_min", "O", [(".", _constraint("has-cardinality", target="line", least=1))], _BY_ORDER.format(of="orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"))
 constraint_query("c_card_max", "O", [(".", _constraint("has-cardinality", target="line", most=5))], "SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(1 AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 5")
 constraint_query("c_unique", "O", [(".", _constraint("is-unique", target="line", keys=[("@linenumber", None)]))], "SELECT CAST(l_orderkey AS VARCHAR) AS doc, CAST(count(*) - count(DISTINCT l_linenumber) AS BIGINT) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > count(DISTINCT l_linenumber)")
-constraint_query("c_index_fk", "O", [(".", _constraint("index", name="big", target="line[@quantity > 25]", keys=[("@partkey", None)])), (".", _constraint("index-has-key", name="big", target="line", keys=[("@partkey", None)]))], _BY_ORDER.format(of="orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)"))
+_BIG = [(".", _constraint("index", name="big", target="line[@quantity > 25]", keys=[("@partkey", None)])), (".", _constraint("index-has-key", name="big", target="line", keys=[("@partkey", None)]))]
+constraint_query("c_index_fk", "O", _BIG, _BY_ORDER.format(of="orders JOIN lineitem a ON l_orderkey = o_orderkey WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey = a.l_partkey AND b.l_quantity > 25)"))
+_FEW = [(".", _constraint("index", name="few", target="line[@quantity > 49]", keys=[("@partkey", None)])), (".", _constraint("index-has-key", name="few", target="line", keys=[("@partkey", None)]))]
+constraint_query("c_index_across", "O", _FEW, _BY_ORDER.format(of="orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)"), across=True)
+constraint_query("c_matches_datatype", "O", [("line", _constraint("matches", target="@discount", datatype="non-negative-integer"))], _BY_ORDER.format(of="orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_discount <> 0"))
+# a key that a pattern cuts out: the first letter of the priority and the status
+constraint_query("c_unique_pattern", "T", [(".", _constraint("is-unique", target="order", keys=[("@priority", "^([0-9]).*"), ("@orderstatus", None)]))], "SELECT CAST(o_custkey AS VARCHAR) AS doc, CAST(count(*) - count(DISTINCT substr(o_orderpriority, 1, 1) || o_orderstatus) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > count(DISTINCT substr(o_orderpriority, 1, 1) || o_orderstatus)")
+constraint_query("findings_at_or_above", "O", [(".", _constraint("allowed-values", target="@orderstatus", values={"F": None, "O": "1.0"})), ("line", _constraint("expect", test="@quantity <= 45", level="INFORMATIONAL")), (".", _constraint("has-cardinality", target="line", least=1, level="CRITICAL"))], "SELECT doc, kind, severity FROM (SELECT o_orderkey AS doc, 'allowed-values' AS kind, CASE WHEN o_orderstatus = 'O' THEN 'WARNING' ELSE 'ERROR' END AS severity FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'has-cardinality', 'CRITICAL' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))", lambda f: _above(f))
 constraint_query(
     "findings_summary",
     "O",
     [(".", _constraint("allowed-values", target="@orderstatus", values={"F": None, "O": "1.0"})), (".", _constraint("has-cardinality", target="line", least=1, level="CRITICAL"))],
     "SELECT severity, count(*) AS n FROM (SELECT 'ERROR' AS severity FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'WARNING' FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'CRITICAL' FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) GROUP BY severity",
-    lambda f: f.groupBy("severity").agg(F.count("*").alias("n")),
+    lambda f: _summary(f),
 )
 
 # scalar types: validity of a text made of each row
