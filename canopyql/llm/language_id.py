@@ -4,7 +4,7 @@ A word (a run of letters, lower-cased) that the training rows know is scored by
 unseen word falls back to character n-grams: of the longest order, from 5 down to 1, of which it holds a known one, with marks at its
 ends. A document's language has the largest sum; the score is its share under a softmax of the mean of at most 20 words' weight.
 
-Training counts words of at most ``MOST_ROWS`` rows of each language (those of the smallest hashes) that are not held out, so that a rare language
+Training counts words of at most ``MOST_ROWS`` rows of each language (those whose hash falls under a threshold) that are not held out, so that a rare language
 is learned at any size of the corpus; the model keeps the most frequent ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams of each order, fewer where
 ``MOST_CELLS`` over the number of languages is less, which bounds what the driver gets and sends. Whole texts are counted and scored; one beyond 2 MB in parts.
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
@@ -137,15 +137,15 @@ def _pieces(column: pa.Array) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 
 def sample(docs: DataFrame, most_rows: int) -> DataFrame:
-    """(text, lang): of each language the usable rows of the smallest hashes, at most `most_rows`.
+    """(text, lang): of each language all usable rows, or those whose hash falls below a threshold that lets at most `most_rows` through.
 
-    A threshold by the language's size leaves about twice as many as are wanted, so only a bounded number of rows is ranked."""
+    The threshold is a real number for each language, six standard deviations below the bound, so no size makes it vanish and nothing
+    but the languages' sizes is shuffled. Rows of equal id and text go together."""
     usable = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    usable = usable.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)))
     sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))
-    near = usable.join(sizes, "lang").filter(F.col("place") / float(1 << 62) < F.lit(2.0 * most_rows + 32) / F.col("size"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
-    return ranked.filter(F.col("rank") <= most_rows).select("text", "lang")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) / float(1 << 62)
+    share = F.when(F.col("size") <= most_rows, 1.0).otherwise(F.lit(max(1.0, most_rows - 6.0 * most_rows**0.5)) / F.col("size"))
+    return usable.join(sizes, "lang").filter(place < share).select("text", "lang")
 
 
 def fit(docs: DataFrame, most_rows: int = MOST_ROWS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model | None:

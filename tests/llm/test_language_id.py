@@ -98,19 +98,19 @@ def test_long_texts_in_parts(spark, rows, monkeypatch):
 
 
 def test_sample_holds_each_language(spark):
-    """A rare language keeps all rows, a common one exactly the bound; the same rows each time."""
+    """A rare language keeps all rows, a common one no more than the bound; the same rows each time."""
     rows = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 5000 == 0, "rare").when(F.col("id") % 3 == 0, "some").otherwise("many").alias("lang"))
-    n = {r.lang: r["count"] for r in language_id.sample(rows, 50).groupBy("lang").count().collect()}
+    n = {r.lang: r["count"] for r in language_id.sample(rows, 400).groupBy("lang").count().collect()}
     rare = rows.filter("lang = 'rare'").filter(~language_id.held_out(F.col("doc_id"))).count()
-    assert n == {"rare": rare, "some": 50, "many": 50} and rare > 0
-    first, second = ({r.text for r in language_id.sample(x, 50).collect()} for x in (rows, rows.repartition(7)))
+    assert n["rare"] == rare > 0 and 200 < n["some"] <= 400 and 200 < n["many"] <= 400
+    first, second = ({r.text for r in language_id.sample(x, 400).collect()} for x in (rows, rows.repartition(7)))
     assert first == second
 
 
 def test_threshold_never_rounds_away():
-    """At 10 to the 13 rows of a language the threshold still lets about twice the bound through."""
-    share = (2.0 * language_id.MOST_ROWS + 32) / 1e13
-    assert share * 2**62 > 1e9
+    """At 10 to the 13 rows of a language the threshold still holds many of the 2 to the 62 hashes."""
+    share = (language_id.MOST_ROWS - 6 * language_id.MOST_ROWS**0.5) / 1e13
+    assert share * 2**62 > 1e8
 
 
 def test_no_model(spark, rows):
