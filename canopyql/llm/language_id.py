@@ -5,7 +5,7 @@ unseen word falls back to character n-grams: of the longest order, from 5 down t
 ends. A document's language has the largest sum; the score is its share under a softmax of the mean of at most 20 words' weight.
 
 Training counts words of at most ``MOST_ROWS`` rows of each language (those whose hash falls under a threshold) that are not held out, so that a rare language
-is learned at any size of the corpus; the model keeps the most frequent ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams of each order, fewer where
+is learned at any size of the corpus, and of the ``MOST_LANGS`` languages of the most rows; the model keeps the most frequent ``MOST_WORDS`` words and ``MOST_GRAMS`` n-grams of each order, fewer where
 ``MOST_CELLS`` over the number of languages is less, which bounds what the driver gets and sends. Whole texts are counted and scored; one beyond 2 MB in parts.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if there is no training row; ties go to the
@@ -29,6 +29,8 @@ from .words import CHUNK_BYTES, span_hashes
 ORDERS = (5, 4, 3, 2, 1)
 #: Training rows of a language, and words and n-grams of an order that the model keeps, at most.
 MOST_ROWS, MOST_WORDS, MOST_GRAMS = 2_000, 200_000, 100_000
+#: Languages that are learned at most, those of the most rows.
+MOST_LANGS = 1_000
 #: Frequencies of an order that the model keeps, at most, over all languages.
 MOST_CELLS = 4_000_000
 #: Words that a document's total is spread over at most, for the softmax.
@@ -142,7 +144,8 @@ def sample(docs: DataFrame, most_rows: int) -> DataFrame:
     The threshold is a real number for each language, six standard deviations below the bound, so no size makes it vanish and nothing
     but the languages' sizes is shuffled. Rows of equal id and text go together."""
     usable = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("size"))
+    # the limit is the proven bound of what is broadcast; without it the join would move every text
+    sizes = F.broadcast(usable.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(MOST_LANGS))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) / float(1 << 62)
     share = F.when(F.col("size") <= most_rows, 1.0).otherwise(F.lit(max(1.0, most_rows - 6.0 * most_rows**0.5)) / F.col("size"))
     return usable.join(sizes, "lang").filter(place < share).select("text", "lang")
