@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.library import FUNCTIONS
 from .plans.compiler import Compiler, Env
-from .plans.model import Child, NodeType, PathError, Seg, V, arr, listed, text
+from .plans.model import NUMERIC, Child, NodeType, PathError, Seg, V, arr, listed, none_of, text
 from .plans.parser import parse
 
 
@@ -69,8 +69,20 @@ class Engine:
         return c
 
     def register_function(self, name: str, arity: int, build) -> None:
-        """A function of the expression language: build takes string Columns and returns a Column."""
-        self.functions[name] = (arity, arity, lambda c, args, env: V("string", build(*(F.coalesce(arr(c.strings(a))[0], F.lit("")) if a.many else c.strings(a).col for a in args))))
+        """A function of the expression language: build takes string Columns and returns a Column. Other arities of the name stay."""
+        self.functions[f"{name}#{arity}"] = (arity, arity, lambda c, args, env: V("string", build(*(F.coalesce(arr(c.strings(a))[0], F.lit("")) if a.many else c.strings(a).col for a in args))))
+
+    def register_sequence_function(self, name: str, arity: int, build, takes: str = "string", gives: str = "string", many: bool = True) -> None:
+        """A function of whole sequences: build takes an array Column of `takes` items for each argument and returns an array of `gives` items, or one (many=False).
+
+        An aggregate takes arrays and gives one item; a generator gives an array."""
+
+        def made(c, args, env):
+            own = [c.atoms(a) for a in args]
+            columns = [none_of(takes) if a.t == "empty" else arr(a if a.t == takes else c.strings(a) if takes == "string" else c.cast_all(a if a.t in NUMERIC else c.numeric(a), takes)) for a in own]
+            return V(gives, build(*columns), many)
+
+        self.functions[f"{name}#{arity}"] = (arity, arity, made)
 
     def check(self, expression: str) -> None:
         """Raises if the text isn't an expression."""

@@ -23,11 +23,12 @@ def node_rows(docs: Documents) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy(*docs.keys)
     out = out.withColumn("pre", F.row_number().over(w.orderBy("k")).cast("long") - 1).withColumn("level", F.floor(F.size("k") / 2).cast("long"))
-    # the next node in pre-order that isn't deeper ends a subtree: positions by level, of levels up to the depth of the model
+    # the next node in pre-order that isn't deeper ends a subtree: a running minimum from the last node up, for each level of the model
+    up = w.orderBy(F.desc("pre")).rowsBetween(Window.unboundedPreceding, -1)
     depth = max(len(s.chain) for s in v.segs)
     size = F.lit(None).cast("long")
     for n in range(depth):
-        end = F.coalesce(F.min(F.when(F.col("level") <= n, F.col("pre"))).over(w.orderBy("pre").rowsBetween(1, Window.unboundedFollowing)), F.count("*").over(w))
+        end = F.coalesce(F.min(F.when(F.col("level") <= n, F.col("pre"))).over(up), F.count("*").over(w))
         size = F.when(F.col("level") == n, end - F.col("pre") - 1).otherwise(size)
     parent = F.lit(None).cast("long")
     for n in range(1, depth):

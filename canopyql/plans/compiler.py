@@ -676,8 +676,10 @@ class Compiler:
         if prefix == "xs" and len(args) == 1:
             v = self.atoms(args[0])
             return EMPTY if v.t == "empty" else self.cast(v, local)
-        found = self.functions.get(key)
+        found = self.functions.get(f"{key}#{len(args)}") or self.functions.get(key)
         if not found:
+            if any(f.startswith(f"{key}#") for f in self.functions):
+                raise PathError(f"{name} does not take {len(args)} arguments")
             raise PathError(f"unknown function {name}")
         least, most, build = found
         if not least <= len(args) <= most:

@@ -73,3 +73,52 @@ def test_own_function(spark):
     eng = Engine(spark)
     eng.register_function("twice", 1, lambda x: F.concat(x, x))
     assert eng.literal("twice('ab')") == ["abab"]
+
+
+def test_overloads_by_arity(spark):
+    eng = Engine(spark)
+    eng.register_function("contains", 1, lambda x: F.concat(x, F.lit("?")))
+    eng.register_function("both", 2, lambda x, y: F.concat(y, x))
+    assert eng.literal("contains('a')") == ["a?"] and eng.literal("contains('ab', 'b')") == ["true"] and eng.literal("both('a', 'b')") == ["ba"]
+    with pytest.raises(PathError):
+        eng.value("both('a')")
+
+
+def test_functions_of_sequences(spark):
+    """An aggregate and a generator of one's own, over nodes too."""
+    from canopyql.sources import tables
+
+    eng = Engine(spark)
+    eng.register_sequence_function("product", 1, lambda x: F.aggregate(x, F.lit(1.0), lambda a, b: a * b), takes="double", gives="double", many=False)
+    eng.register_sequence_function("twice", 1, lambda x: F.flatten(F.transform(x, lambda y: F.array(y, y))))
+    eng.register_sequence_function("longest", 2, lambda x, y: F.when(F.size(x) >= F.size(y), x).otherwise(y))
+    assert eng.literal("product((2, 3, 4.5))") == ["27"] and eng.literal("product(())") == ["1"] and eng.literal("twice(('a', 'b'))[3]") == ["b"]
+    assert eng.literal("longest((1, 2), ())") == ["1", "2"]
+    docs = tables.conversations(eng, "/root/testdata/sf0.001")
+    counts = {r.conv_id: r.value for r in docs.eval("count(twice(turn/@role))").collect()}
+    assert counts == {r.conv_id: 2 * r.value for r in docs.eval("count(turn)").collect()}
+
+
+@pytest.mark.parametrize("values", [[0.1] * 10, [1e16, 1.0, -1e16, 1.0], [3.3, 1e300, -1e300, 2.2], [float("inf"), 1.0], [float("inf"), float("-inf")], [float("nan"), 1.0]])
+def test_sum_of_any_order(spark, values):
+    """Correctly rounded but for an ulp, and the same for each order."""
+    import itertools
+    import math
+
+    orders = [list(x) for x in itertools.islice(itertools.permutations(values), 24)]
+    from canopyql.functions.library import _total
+    from canopyql.plans.model import V
+
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in orders], "v array<double>").select(_total(V("double", F.col("v"), True))).collect()]
+    assert len(set(map(str, got))) == 1
+    if all(map(math.isfinite, values)):
+        assert got[0] == pytest.approx(math.fsum(values), rel=1e-15, abs=1e-15)
+    else:
+        assert str(got[0]) == str(float(np_sum(values)))
+
+
+def np_sum(values):
+    total = 0.0
+    for x in sorted(values, key=lambda v: (v != v, v)):
+        total += x
+    return total

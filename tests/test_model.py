@@ -129,3 +129,22 @@ def test_stream(spark, module, tmp_path):
     q = docs.eval("title").writeStream.format("memory").queryName("titles").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.value for r in spark.sql("select value from titles").collect()] == ["Hi"]
+
+
+def test_single_value_rules_read_documents_once(spark):
+    """However many constraints there are, orders and lines are read once; findings come in the order of their nodes."""
+    from canopyql.engine import Engine
+    from canopyql.operators.constraints import LEVELS, at_or_above, merged, ordered, validate
+    from canopyql.catalog.module import Constraint
+    from canopyql.sources import tables
+
+    docs = tables.orders(Engine(spark), "/root/testdata/sf0.001")
+    rules = [(".", Constraint("allowed-values", target="@orderstatus", values={"F": None})), (".", Constraint("has-cardinality", target="line", most=3, level="CRITICAL"))]
+    rules += [("line", Constraint("expect", test=f"@quantity < {n}", level="WARNING")) for n in (10, 20, 30)]
+    found = validate(docs, rules)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    both = ordered(merged(found, validate(docs, rules[:1]))).collect()
+    assert [(r.doc, r.at) for r in both] == sorted((r.doc, r.at) for r in both)
+    worst = at_or_above(found, "ERROR")
+    assert {r.severity for r in worst.collect()} == {"ERROR", "CRITICAL"} and LEVELS.index("ERROR") == 3
+    assert worst.count() == sum(r.severity in ("ERROR", "CRITICAL") for r in found.collect())
