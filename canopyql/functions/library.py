@@ -248,7 +248,7 @@ def _total(v: V) -> Column:
         return F.struct(t.alias("s"), (a["lost"] + lost).alias("lost"))
 
     # infinities leave no number in what was lost
-    return F.aggregate(F.array_sort(arr(v)), start, add, lambda a: F.when(F.isnan(a["lost"]), a["s"]).otherwise(a["s"] + a["lost"]))
+    return F.aggregate(F.sort_array(arr(v)), start, add, lambda a: F.when(F.isnan(a["lost"]), a["s"]).otherwise(a["s"] + a["lost"]))
 
 
 @register("sum", 1)

@@ -162,10 +162,9 @@ class Compiler:
         if len(parts) == 1:
             _, s, get = parts[0]
             return V(t, F.filter(F.transform(s.col, lambda x: get(x)), lambda y: y.isNotNull()), True)
-        by = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["i"] - b["i"])
         cell = lambda n, u, s, get: lambda x, i: F.struct(s.order(x, i).alias("k"), F.lit(n).alias("s"), i.alias("i"), (get(x) if t == u else text(u, get(x))).cast(DDL[t]).alias("v"))
         both = F.concat(*(F.transform(s.col, cell(n, u, s, get)) for n, (u, s, get) in enumerate(parts)))
-        return V(t, F.filter(F.transform(F.array_sort(both, by), lambda y: y["v"]), lambda y: y.isNotNull()), True)
+        return V(t, F.filter(F.transform(F.sort_array(both), lambda y: y["v"]), lambda y: y.isNotNull()), True)
 
     def ebv(self, v: V) -> Column:
         """Effective boolean value, never NULL."""
@@ -227,7 +226,7 @@ class Compiler:
 
         def bound(c: Column) -> Column:
             tags = F.concat(*(F.transform(c[f"s{n}"], tag(n, s)) for n, s in enumerate(v.segs)))
-            return let(F.array_sort(tags), lambda t: f(lambda n, i: F.get(c[f"s{n}"], i), t))
+            return let(F.sort_array(tags), lambda t: f(lambda n, i: F.get(c[f"s{n}"], i), t))
 
         return let(cols, bound)
 

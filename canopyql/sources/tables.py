@@ -35,7 +35,7 @@ def _moment(c: str):
 
 def ordered(df: DataFrame, by: str, item, name: str) -> DataFrame:
     """One row per key with its items as a sorted array; the order is that of the struct's fields."""
-    return df.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias(name))
+    return df.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias(name))
 
 
 def _only(node: NodeType, flags: set[str] | None) -> NodeType:
